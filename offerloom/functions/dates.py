@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
-from .text import none_if_empty, squash, text_or_empty
+from .text import squash, text_or_empty
 
 _API_STAMP = (
     r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{1,6}(Z|[+-]\d{2}:?\d{2})$"
@@ -15,13 +15,23 @@ _ISO_STAMP = (
 )
 
 
+# A failed parse costs an exception per row, so the shape is tested first.
+_SHAPES = {
+    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{3,} \d{4}$",
+    "MMMM d yyyy": r"^[A-Za-z]{4,} \d{1,2} \d{4}$",
+    "MMM d yyyy": r"^[A-Za-z]{3} \d{1,2} \d{4}$",
+    "dd/MM/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+}
+
+
 def _as_date(column: Column, pattern: str) -> Column:
-    return F.try_to_date(none_if_empty(column), pattern)
+    return F.when(column.rlike(_SHAPES[pattern]), F.try_to_date(column, pattern))
 
 
 def long_date(column: Column) -> Column:
     """``1 June 2026``."""
-    return _as_date(F.trim(column), "d MMMM yyyy")
+    return _as_date(squash(column), "d MMMM yyyy")
 
 
 def slash_date(column: Column) -> Column:
@@ -36,7 +46,7 @@ def loose_date(column: Column) -> Column:
     """
     plain = F.regexp_replace(squash(column), fv.ORDINAL_PATTERN, "$1")
     forms = [_as_date(plain, p) for p in ("MMM d yyyy", "MMMM d yyyy", "d MMMM yyyy", "yyyy-M-d")]
-    stamp = F.when(plain.rlike(_ISO_STAMP), _as_date(F.substring(plain, 1, 10), "yyyy-MM-dd"))
+    stamp = F.when(plain.rlike(_ISO_STAMP), _as_date(F.substring(plain, 1, 10), "yyyy-M-d"))
     return F.coalesce(*forms, stamp)
 
 
@@ -45,7 +55,7 @@ def cell_date(machine: Column, shown: Column) -> Column:
     text = squash(shown)
     low = F.lower(text)
     withheld = F.contains(low, F.lit(fv.NO_DATE_WORDS[0])) | F.contains(low, F.lit(fv.NO_DATE_WORDS[1]))
-    written = _as_date(F.regexp_extract(text, r"\b\d{1,2}\s+[A-Za-z]+\s+\d{4}\b", 0), "d MMMM yyyy")
+    written = _as_date(F.regexp_extract(text, r"\b\d{1,2} [A-Za-z]+ \d{4}\b", 0), "d MMMM yyyy")
     return F.coalesce(
         _as_date(F.substring_index(text_or_empty(machine), "T", 1), "yyyy-M-d"),
         F.when(~withheld, written))
@@ -53,9 +63,8 @@ def cell_date(machine: Column, shown: Column) -> Column:
 
 def api_date(column: Column) -> Column:
     """``2026-06-01T00:00:00.000+0000`` or ``2026-06-01``; the local day of the offset."""
-    return F.coalesce(
-        F.when(column.rlike(_API_STAMP), _as_date(F.substring(column, 1, 10), "yyyy-MM-dd")),
-        F.when(column.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), _as_date(column, "yyyy-M-d")))
+    stamp = F.when(column.rlike(_API_STAMP), _as_date(F.substring(column, 1, 10), "yyyy-M-d"))
+    return F.coalesce(stamp, _as_date(column, "yyyy-M-d"))
 
 
 def deadlines(stamps: Column) -> Column:
@@ -94,7 +103,7 @@ def lenient_stamp(column: Column) -> Column:
 
 
 def lenient_day(column: Column) -> Column:
-    return F.when(column.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), _as_date(column, "yyyy-M-d"))
+    return _as_date(column, "yyyy-M-d")
 
 
 def lenient_number(column: Column) -> Column:

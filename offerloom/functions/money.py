@@ -24,7 +24,7 @@ def all_amounts(column: Column, pattern: str = fv.MONEY_PATTERN) -> Column:
     text = text_or_empty(column)
     digits = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     suffixes = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.array_compact(F.transform(digits, lambda d, i: _amount(d, F.get(suffixes, i))))
+    return F.array_compact(F.zip_with(digits, suffixes, _amount))
 
 
 def largest_amount(column: Column) -> Column:

@@ -17,7 +17,7 @@ def closing_soon(status: Column, closes: Column, as_of: Column) -> Column:
 def tag_list(sector_tags: Column, niche_tags: Column) -> Column:
     """Both comma lists as one array of trimmed tags."""
     def parts(column):
-        filled = F.when(text_or_empty(column) != "", F.transform(F.split(column, ","), F.trim))
+        filled = F.when(text_or_empty(column) != "", F.transform(F.split(column, ","), lambda t: F.trim(t)))
         return F.coalesce(filled, F.array().cast("array<string>"))
 
     return F.concat(parts(sector_tags), parts(niche_tags))
@@ -43,7 +43,13 @@ def word_chips(title: Column, summary: Column) -> Column:
     words = F.split(squash(F.regexp_replace(joined, fv.WORD_CHIP_BREAKS, " ")), " ")
     kept = F.filter(words, lambda w: (F.length(w) >= fv.WORD_CHIP_MIN_CHARS) & ~w.isin(*fv.WORD_CHIP_STOP))
     first = F.slice(F.array_distinct(kept), 1, fv.WORD_CHIP_LIMIT)
-    return F.transform(first, lambda w: F.initcap(F.replace(w, F.lit("_"), F.lit(" "))))
+    return F.transform(first, lambda w: _first_letters_up(F.replace(w, F.lit("_"), F.lit(" "))))
+
+
+def _first_letters_up(words: Column) -> Column:
+    """Upper-case first letters of a lower-case text; unlike ``initcap``, sharp s becomes SS."""
+    return F.array_join(F.transform(
+        F.split(words, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
 
 
 def chips(title: Column, summary: Column, sector_tags: Column, niche_tags: Column, label: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 from functools import reduce
 from operator import or_
+from typing import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -13,6 +14,11 @@ BLANKS = r"(?U)[\s\x1C-\x1F]+"
 LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
+def once(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(value)`` with ``value`` worked out a single time, however often it is used."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def text_or_empty(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
-from ..functions.text import has_phrase, phrase_key, text_or_empty
+from ..functions.text import has_phrase, once, phrase_key, text_or_empty
 
 
 def class_text(df: DataFrame, fields=fv.CLASS_TEXT_FIELDS) -> Column:
@@ -34,11 +34,13 @@ def _first_of(chain, otherwise: Column) -> Column:
 
 def place_of_words(location: Column) -> Column:
     """Place named in a location phrase; null when none is."""
-    keyed = phrase_key(location)
-    rules = [(has_phrase(keyed, words), place) for place, words in fv.PLACE_WORDS]
-    rules.append((keyed.rlike(fv.PLACE_EAST_PATTERN), "england_east"))
-    rules.append((has_phrase(keyed, ("england",)), "england"))
-    return _first_of(rules, F.lit(None).cast("string"))
+    def place(keyed: Column) -> Column:
+        rules = [(has_phrase(keyed, words), name) for name, words in fv.PLACE_WORDS]
+        rules.append((keyed.rlike(fv.PLACE_EAST_PATTERN), "england_east"))
+        rules.append((has_phrase(keyed, ("england",)), "england"))
+        return _first_of(rules, F.lit(None).cast("string"))
+
+    return once(phrase_key(location), place)
 
 
 def stated_place(keyed: Column) -> Column:
@@ -100,9 +102,9 @@ def applicants_from_key(keyed: Column, source: Column) -> Column:
             has_phrase(keyed, fv.PERSONAL_ACADEMIC_PHRASES), F.lit("academic,individual")).otherwise(F.lit("individual")))
         .when(low.isin(*fv.BUSINESS_SOURCES) | is_business_programme(keyed),
               F.when(joint, F.lit("business,academic")).otherwise(F.lit("business")))
-        .when(F.size(stated_applicants(keyed)) > 0, applicant_set(stated_applicants(keyed)))
-        .when(names_council(keyed), F.lit("academic"))
-        .otherwise(F.lit(fv.ANY_APPLICANT)))
+        .otherwise(once(stated_applicants(keyed), lambda stated: (
+            F.when(F.size(stated) > 0, applicant_set(stated))
+            .when(names_council(keyed), F.lit("academic")).otherwise(F.lit(fv.ANY_APPLICANT))))))
 
 
 def classify(df: DataFrame, fields=fv.CLASS_TEXT_FIELDS, keep_given: bool = False) -> DataFrame:

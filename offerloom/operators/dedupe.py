@@ -147,7 +147,7 @@ def decide(ranked: DataFrame, max_rounds: int = 200, tail_after: int = 12) -> Da
 
 def _walk_tail(live: DataFrame) -> DataFrame:
     """The ranking rule itself, over a rest whose size the caller has checked."""
-    def walk(_, edges: pd.DataFrame) -> pd.DataFrame:
+    def walk(edges: pd.DataFrame) -> pd.DataFrame:
         taken: set = set()
         verdicts = []
         for rank, keys in edges.sort_values("rank").groupby("rank", sort=True)["key"]:
@@ -157,7 +157,8 @@ def _walk_tail(live: DataFrame) -> DataFrame:
             verdicts.append((rank, kept))
         return edges.merge(pd.DataFrame(verdicts, columns=["rank", "kept"]), on="rank")[["key", "rank", "kept"]]
 
-    return live.select("key", "rank").groupBy(F.lit(1)).applyInPandas(walk, "key string, rank bigint, kept boolean")
+    rest = live.select("key", "rank", F.lit(0).alias("part"))
+    return rest.groupBy("part").applyInPandas(walk, "key string, rank bigint, kept boolean")
 
 
 def _stack(spark, parts: list[DataFrame], schema: str) -> DataFrame:

@@ -14,6 +14,8 @@ from typing import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.text import once
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(("script", "style", "template"))
 
@@ -141,8 +143,11 @@ def holds(outer: Column, inner: Column) -> Column:
 
 
 def subtree(nodes: Column, node: Column) -> Column:
-    start = node["pos"] - F.get(nodes, F.lit(0))["pos"] + F.lit(1)
-    return F.slice(nodes, start, node["last"] - node["pos"] + F.lit(1))
+    def cut(n: Column) -> Column:
+        start = n["pos"] - F.get(nodes, F.lit(0))["pos"] + F.lit(1)
+        return F.slice(nodes, start, n["last"] - n["pos"] + F.lit(1))
+
+    return once(node, cut)
 
 
 def find(nodes: Column, test: Callable[[Column], Column]) -> Column:
@@ -164,7 +169,8 @@ def text_of(nodes: Column, node: Column, separator: str = " ") -> Column:
 
 def ancestor(nodes: Column, node: Column, tag: str) -> Column:
     """Nearest enclosing element of that name."""
-    return find_last(nodes, lambda n: is_tag(n, tag) & (n["pos"] < node["pos"]) & (n["last"] >= node["pos"]))
+    return once(node, lambda inner: find_last(
+        nodes, lambda n: is_tag(n, tag) & (n["pos"] < inner["pos"]) & (n["last"] >= inner["pos"])))
 
 
 def under_class(nodes: Column, node: Column, name: str) -> Column:

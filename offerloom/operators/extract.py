@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import dates, money, urls
-from ..functions.text import join_filled, none_if_empty, squash, squash_lines, text_or_empty
+from ..functions.text import join_filled, none_if_empty, once, squash, squash_lines, text_or_empty
 from . import dom
 
 NOISE_TAGS = ("script", "style", "nav")
@@ -86,9 +86,8 @@ def sections(nodes: Column) -> Column:
         stop = F.coalesce(
             F.array_min(F.transform(F.filter(beside, lambda n: dom.is_tag(n, *HEADINGS)), lambda n: n["pos"])),
             F.lit(2**31 - 1))
-        chunks = F.transform(
-            F.filter(beside, lambda n: (n["pos"] < stop) & ~dom.is_tag(n, *NOISE_TAGS)),
-            lambda n: squash_lines(dom.text_of(nodes, n, "\n")))
+        until = lambda end: F.filter(beside, lambda n: (n["pos"] < end) & ~dom.is_tag(n, *NOISE_TAGS))
+        chunks = F.transform(once(stop, until), lambda n: squash_lines(dom.text_of(nodes, n, "\n")))
         return F.array_join(F.filter(chunks, lambda c: c != ""), "\n")
 
     pairs = F.transform(heads, lambda h: F.struct(
@@ -169,15 +168,19 @@ def block_under(nodes: Column, heading: str, tag: str = "h5") -> Column:
 
 
 def block_text(block: Column, heading: str) -> Column:
-    top = F.get(block, F.lit(0))["pos"]
-    boxes = F.filter(block, lambda n: dom.is_tag(n, "div") & (n["parent"] == top))
-    texts = F.transform(boxes, lambda n: squash(dom.text_of(block, n)))
-    return none_if_empty(F.array_join(F.filter(texts, lambda t: (t != "") & (F.lower(t) != heading.lower())), ", "))
+    def texts(nodes: Column) -> Column:
+        boxes = F.filter(nodes, lambda n: dom.is_tag(n, "div") & (n["parent"] == F.get(nodes, F.lit(0))["pos"]))
+        return F.transform(boxes, lambda n: squash(dom.text_of(nodes, n)))
+
+    wanted = F.filter(once(block, texts), lambda t: (t != "") & (F.lower(t) != heading.lower()))
+    return none_if_empty(F.array_join(wanted, ", "))
 
 
 def block_links(block: Column) -> Column:
-    texts = F.transform(F.filter(block, lambda n: dom.is_tag(n, "a")), lambda n: squash(dom.text_of(block, n)))
-    return F.filter(texts, lambda t: t != "")
+    def texts(nodes: Column) -> Column:
+        return F.transform(F.filter(nodes, lambda n: dom.is_tag(n, "a")), lambda n: squash(dom.text_of(nodes, n)))
+
+    return F.filter(once(block, texts), lambda t: t != "")
 
 
 def apply_link(nodes: Column, base: str = fv.CONNECT_BASE) -> Column:
@@ -225,20 +228,23 @@ def connect_details(pages: DataFrame, base: str = fv.CONNECT_BASE) -> DataFrame:
 def label_facts(nodes: Column) -> Column:
     """Label/value rows of the summary table, with the machine date where there is one."""
     boxes = F.filter(nodes, lambda n: dom.has_class(n, "opportunity__summary"))
-    rows = F.filter(nodes, lambda n: dom.has_class(n, "govuk-table__row") & F.exists(boxes, lambda b: dom.holds(b, n)))
+    rows = once(boxes, lambda bs: F.filter(
+        nodes, lambda n: dom.has_class(n, "govuk-table__row") & F.exists(bs, lambda b: dom.holds(b, n))))
 
-    def fact(row: Column) -> Column:
+    def parts(row: Column) -> Column:
         own = dom.subtree(nodes, row)
-        name = dom.find(own, lambda n: dom.is_tag(n, "dt"))
-        value = dom.find(own, lambda n: dom.is_tag(n, "dd"))
-        stamp = dom.find(dom.subtree(own, value), lambda n: dom.is_tag(n, "time") & dom.attr(n, "datetime").isNotNull())
-        label = F.lower(F.regexp_replace(squash(dom.text_of(own, name)), ":+$", ""))
-        return F.when(
-            name.isNotNull() & value.isNotNull(),
-            F.struct(label.alias("label"), squash(dom.text_of(own, value)).alias("value"),
-                     dom.attr(stamp, "datetime").alias("stamp")))
-
-    return F.array_compact(F.transform(rows, fact))
+        return once(own, lambda ns: F.struct(
+            dom.subtree(ns, dom.find(ns, lambda n: dom.is_tag(n, "dt"))).alias("name"),
+            dom.subtree(ns, dom.find(ns, lambda n: dom.is_tag(n, "dd"))).alias("value")))
+
+    def fact(part: Column) -> Column:
+        stamp = dom.find(part["value"], lambda n: dom.is_tag(n, "time") & dom.attr(n, "datetime").isNotNull())
+        return F.struct(
+            F.lower(F.regexp_replace(squash(dom.text_in(part["name"])), ":+$", "")).alias("label"),
+            squash(dom.text_in(part["value"])).alias("value"), dom.attr(stamp, "datetime").alias("stamp"))
+
+    whole = F.filter(F.transform(rows, parts), lambda p: p["name"].isNotNull() & p["value"].isNotNull())
+    return F.transform(whole, fact)
 
 
 def fact_value(facts: Column, label: str) -> Column:

@@ -56,49 +56,65 @@ def purge_closed(base: DataFrame, spec: SourceSpec, as_of) -> DataFrame:
     return base.where(~F.coalesce(gone, F.lit(False)))
 
 
-def upsert(base: DataFrame, batch: DataFrame, spec: SourceSpec, as_of, now, order: list | None = None) -> DataFrame:
-    """Merge a source's batch into the catalogue; one full join decides every row.
-
-    ``batch`` is the source's item table.  The result has the catalogue columns
-    and ``_action``: insert, update, stale or keep.  ``spec`` says which columns
-    an update may touch, and what an empty crawl does to the stored rows.
+def upsert_all(base: DataFrame, batches: list[tuple[DataFrame, SourceSpec]], as_of, now,
+               order: list | None = None) -> DataFrame:
+    """Merge the batches of several sources in one pass over the catalogue.
+
+    The result has the catalogue columns and ``_action``: insert, update, stale or
+    keep.  Each ``spec`` says which columns an update may touch and what an empty
+    crawl does to the stored rows.  One full join on id decides every row, however
+    many sources there are.
     """
-    fresh = prepare_batch(batch, spec, as_of, now, order)
-    if spec.purge_closed:
-        base = purge_closed(base, spec, as_of)
-    new = fresh.select(*[F.col(c).alias(f"_new_{c}") for c in CATALOGUE_COLUMNS])
+    specs = [spec for _, spec in batches]
+    fresh = union_items([
+        prepare_batch(batch, spec, as_of, now, order).withColumn("_spec", F.lit(spec.name)) for batch, spec in batches])
+    for spec in specs:
+        if spec.purge_closed:
+            base = purge_closed(base, spec, as_of)
+    new = fresh.select("_spec", *[F.col(c).alias(f"_new_{c}") for c in CATALOGUE_COLUMNS])
     joined = base.join(new, base["id"] == new["_new_id"], "full_outer")
-    seen, stored = F.col("_new_id").isNotNull(), F.col("id").isNotNull()
-    if spec.marks_stale:
-        mine = F.col("source").isin(*spec.stored_names) & (F.col("status") != INACTIVE)
-        if spec.on_empty == "skip":
-            # One row at most: says whether the crawl brought anything at all.
-            crawled = batch.select(F.lit(True).alias("_crawled")).limit(1)
-            joined = joined.join(F.broadcast(crawled), how="left")
-            mine = mine & F.col("_crawled").isNotNull()
-        stale = F.coalesce(~seen & mine, F.lit(False))
-    else:
-        stale = F.lit(False)
-    action = (F.when(seen & stored, "update").when(seen, "insert").when(stale, "stale").otherwise("keep"))
+    seen, stored, live = F.col("_new_id").isNotNull(), F.col("id").isNotNull(), F.col("status") != INACTIVE
+
+    always = [n for s in specs if s.marks_stale and s.on_empty == "stale_all" for n in s.stored_names]
+    if_crawled = [(batch, s) for batch, s in batches if s.marks_stale and s.on_empty == "skip"]
+    swept = F.col("source").isin(*always) if always else F.lit(False)
+    if if_crawled:
+        # A row per stored name of the sources whose crawl brought anything at all.
+        names = union_items([
+            batch.select(F.lit(1)).limit(1).select(F.explode(F.array(*map(F.lit, s.stored_names))).alias("_name"))
+            for batch, s in if_crawled])
+        joined = joined.join(F.broadcast(names), F.col("source") == F.col("_name"), "left")
+        swept = swept | F.col("_name").isNotNull()
+    stale = F.coalesce(~seen & swept & live, F.lit(False))
+    action = F.when(seen & stored, "update").when(seen, "insert").when(stale, "stale").otherwise("keep")
     return joined.withColumn("_action", action).select(
-        *[_merged(c, spec, now).alias(c) for c in CATALOGUE_COLUMNS], "_action")
+        *[_merged(c, specs, now).alias(c) for c in CATALOGUE_COLUMNS], "_action")
 
 
-def _merged(name: str, spec: SourceSpec, now) -> Column:
+def upsert(base: DataFrame, batch: DataFrame, spec: SourceSpec, as_of, now, order: list | None = None) -> DataFrame:
+    return upsert_all(base, [(batch, spec)], as_of, now, order)
+
+
+def _merged(name: str, specs: list[SourceSpec], now) -> Column:
     old, new, act = F.col(name), F.col(f"_new_{name}"), F.col("_action")
-    empty = F.lit(None).cast(CATALOGUE[name].dataType)
     if name == "id":
         return F.coalesce(old, new)
-    updated = new if name in spec.update_columns else old
-    if name == "description" and spec.keep_enriched_text:
-        untouched = F.coalesce(old, F.lit("")) == F.coalesce(F.col("summary"), F.lit(""))
-        updated = F.when(untouched, new).otherwise(old)
-    inserted = new if name in spec.insert_columns else empty
+
+    def of(test) -> Column:
+        return F.col("_spec").isin(*[s.name for s in specs if test(s)]) if any(map(test, specs)) else F.lit(False)
+
+    updated = F.when(of(lambda s: name in s.update_columns), new).otherwise(old)
+    if name == "description":
+        enriched = F.coalesce(old, F.lit("")) != F.coalesce(F.col("summary"), F.lit(""))
+        updated = F.when(of(lambda s: s.keep_enriched_text) & enriched, old).otherwise(updated)
+    inserted = F.when(of(lambda s: name in s.insert_columns), new)
     value = F.when(act == "insert", inserted).when(act == "update", updated)
     if name == "status":
         value = value.when(act == "stale", F.lit(INACTIVE))
-    if name == "last_seen" and spec.touch_stale:
-        value = value.when(act == "stale", F.lit(now).cast("timestamp"))
+    if name == "last_seen":
+        touched = [n for s in specs if s.touch_stale for n in s.stored_names]
+        if touched:
+            value = value.when((act == "stale") & F.col("source").isin(*touched), F.lit(now).cast("timestamp"))
     return value.otherwise(old)
 
 

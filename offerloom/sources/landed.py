@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from .. import fixed_values as fv
 from ..functions.dates import api_date
@@ -56,15 +56,18 @@ def read_rate(spark: SparkSession, path: str) -> DataFrame:
     return rate_from_xml(spark.read.text(path, wholetext=True).select(F.col("value").alias("xml")))
 
 
-def rate_from_xml(feed: DataFrame, currency: str = "GBP") -> DataFrame:
-    """First rate of ``currency`` with the day it stands under; the day alone if none."""
+def rate_columns(xml: Column, currency: str = "GBP") -> tuple[Column, Column]:
+    """First rate of ``currency`` in a feed and the day it stands under; the last day if none."""
     # Namespaces only get in the way of the element names.
-    plain = F.regexp_replace(F.col("xml"), r"(</?)[A-Za-z]+:", "$1")
+    plain = F.regexp_replace(xml, r"(</?)[A-Za-z]+:", "$1")
     days = F.from_xml(plain, RATE_FEED.simpleString())["Cube"]["Cube"]
     hit = F.get(F.filter(days, lambda d: F.exists(d["Cube"], lambda c: c["_currency"] == currency)), F.lit(0))
-    return feed.select(
-        F.get(F.filter(hit["Cube"], lambda c: c["_currency"] == currency), F.lit(0))["_rate"].alias("rate"),
-        api_date(F.coalesce(hit["_time"], F.try_element_at(days, F.lit(-1))["_time"])).alias("rate_date"))
+    rate = F.get(F.filter(hit["Cube"], lambda c: c["_currency"] == currency), F.lit(0))["_rate"]
+    return rate.alias("rate"), api_date(F.coalesce(hit["_time"], F.try_element_at(days, F.lit(-1))["_time"])).alias("rate_date")
+
+
+def rate_from_xml(feed: DataFrame, currency: str = "GBP") -> DataFrame:
+    return feed.select(*rate_columns(F.col("xml"), currency))
 
 
 def wanted_records(records: DataFrame, types=fv.PORTAL_RECORD_TYPES, statuses=fv.PORTAL_STATUSES,
@@ -83,17 +86,32 @@ def best_hits(hits: DataFrame, key: str = "identifier", found: str = "found", sl
 
 def crawled_pages(pages: DataFrame, crawl: str, page_no: str, size: Column, max_pages: int = 20,
                   page_size: int | None = None) -> DataFrame:
-    """Pages a crawl would have read: up to its cap, its first empty page, and its first short page.
+    """Pages a crawl would have read: up to its cap, before its first empty page, and
+    up to its first short page when there is a page size.
 
-    A page table has one narrow row per page, and the first stop per crawl is found
-    by grouping, so a crawl of any length is never gathered in one task.
+    The cap goes first and bounds the pages of a crawl; the first stop is found by
+    grouping, with map-side combine, not by gathering a crawl in one task.
     """
-    sized = pages.withColumn("_size", size)
+    sized = pages.where(F.col(page_no) <= max_pages).withColumn("_size", size)
     stops = sized.groupBy(crawl).agg(
         F.min(F.when(F.col("_size") == 0, F.col(page_no))).alias("_empty"),
         F.min(F.when(F.col("_size") < (page_size or 0), F.col(page_no))).alias("_short"))
     inside = (
-        (F.col(page_no) <= max_pages)
-        & (F.col("_empty").isNull() | (F.col(page_no) < F.col("_empty")))
+        (F.col("_empty").isNull() | (F.col(page_no) < F.col("_empty")))
         & (F.col("_short").isNull() | (F.col(page_no) <= F.col("_short"))))
     return sized.join(stops, crawl).where(inside).drop("_size", "_empty", "_short")
+
+
+def until_complete(records: DataFrame, crawl: str, page_no: str, key: str, total: str, max_pages: int = 20) -> DataFrame:
+    """Records of the pages read before the crawl had seen as many keys as announced."""
+    capped = records.where(F.col(page_no) <= max_pages)
+    first_seen = capped.groupBy(crawl, key).agg(F.min(page_no).alias(page_no))
+    new_keys = first_seen.groupBy(crawl, page_no).agg(F.count("*").alias("_new"))
+    per_page = capped.groupBy(crawl, page_no).agg(F.max(total).alias("_total")).join(new_keys, [crawl, page_no], "left")
+    # At most max_pages rows per crawl reach this window.
+    before = Window.partitionBy(crawl).orderBy(page_no).rowsBetween(Window.unboundedPreceding, -1)
+    done = F.coalesce(F.sum("_new").over(before), F.lit(0)) >= F.nullif(F.lag("_total").over(
+        Window.partitionBy(crawl).orderBy(page_no)), F.lit(0))
+    stop = per_page.withColumn("_done", F.coalesce(done, F.lit(False))).groupBy(crawl).agg(
+        F.min(F.when(F.col("_done"), F.col(page_no))).alias("_stop"))
+    return capped.join(stop, crawl).where(F.col("_stop").isNull() | (F.col(page_no) < F.col("_stop"))).drop("_stop")
