@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
-from .text import none_if_empty, text_or_empty
+from .text import none_if_empty, once, text_or_empty
 
 _WITH_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)([^?#]*)"
 _ORIGIN = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*"
@@ -91,6 +91,10 @@ def _without_dots(path: Column) -> Column:
 
 def resolve(base: Column, link: Column) -> Column:
     """Link seen on page ``base`` made absolute."""
+    return once(link, lambda plain: _resolved(base, plain))
+
+
+def _resolved(base: Column, link: Column) -> Column:
     origin = F.regexp_extract(base, _ORIGIN, 0)
     base_path = F.regexp_extract(base, _WITH_HOST, 2)
     folder = F.regexp_extract(F.when(base_path == "", F.lit("/")).otherwise(base_path), r"^.*/", 0)

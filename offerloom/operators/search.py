@@ -6,7 +6,7 @@ import datetime as dt
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
 from ..functions import report
@@ -79,6 +79,37 @@ def tag_filter(df: DataFrame, text: str | None, literal: bool = False) -> DataFr
     return df.where(_text_test(df, TAGGED_COLUMNS, text, literal)) if text else df
 
 
+def source_names(spark: SparkSession, book: SourceBook = DEFAULT_BOOK) -> DataFrame:
+    """The source book as a table: one row per stored spelling."""
+    stored = sorted(set(book.labels) | set(book.priority) | {a for names in book.aliases.values() for a in names})
+    names = spark.createDataFrame([(n,) for n in stored], "source string")
+    c = F.col("source")
+    return names.select(
+        "source", book.key_of(c).alias("source_key"), book.label_of(c).alias("source_label"),
+        book.order_of(book.key_of(c)).alias("source_position"), book.priority_of(c).alias("source_priority"))
+
+
+def with_source_names(df: DataFrame, book: SourceBook = DEFAULT_BOOK) -> DataFrame:
+    """Key, label, position and priority by join; an unknown source gets the defaults.
+
+    The broadcast side has a row per spelling in the book, a constant of the code.
+    """
+    c = F.col("source")
+    joined = df.join(F.broadcast(source_names(df.sparkSession, book)), "source", "left")
+    return joined.withColumns({
+        "source_key": F.coalesce("source_key", F.trim(c)),
+        "source_label": F.coalesce("source_label", F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))),
+        "source_position": F.coalesce("source_position", F.lit(fv.UNRANKED)),
+        "source_priority": F.coalesce("source_priority", F.lit(fv.UNRANKED))})
+
+
+def in_any_spelling(df: DataFrame, wanted: DataFrame, book: SourceBook = DEFAULT_BOOK) -> DataFrame:
+    """Rows of the sources in ``wanted`` (a table of keys), whatever their spelling."""
+    names = source_names(df.sparkSession, book).select("source", F.col("source_key").alias("_key"))
+    keyed = df.join(F.broadcast(names), "source", "left").withColumn("_key", F.coalesce("_key", "source"))
+    return keyed.join(wanted.select(F.col("source_key").alias("_key")), "_key", "left_semi").drop("_key")
+
+
 def source_filter(df: DataFrame, names, book: SourceBook = DEFAULT_BOOK) -> DataFrame:
     stored = book.expand(list(names or ()))
     return df.where(F.col("source").isin(*stored)) if stored else df
