@@ -28,10 +28,22 @@ def path_of(column: Column) -> Column:
     return F.regexp_replace(raw, r";[^/]*$", "")
 
 
-def link_key(column: Column) -> Column:
+def parts_of(column: Column) -> Column:
+    """Host and path as a struct, for several rules over one link."""
+    return F.struct(host_of(column).alias("host"), path_of(column).alias("path"))
+
+
+def key_of_parts(parts: Column) -> Column:
     """Lower-case host and path without closing slashes; null without a host."""
-    text = F.trim(column)
-    return F.when(host_of(text) != "", F.lower(F.concat(host_of(text), F.regexp_replace(path_of(text), "/+$", ""))))
+    return F.when(parts["host"] != "", F.lower(F.concat(parts["host"], F.rtrim(parts["path"], F.lit("/")))))
+
+
+def slug_of_path(path: Column) -> Column:
+    return none_if_empty(F.lower(F.regexp_extract(path, r"(?:^|/)opportunities/+([^/]+)/*$", 1)))
+
+
+def link_key(column: Column) -> Column:
+    return once(parts_of(F.trim(column)), key_of_parts)
 
 
 def competition_of(column: Column) -> Column:
@@ -45,7 +57,7 @@ def competition_in_path(column: Column) -> Column:
 
 
 def offer_slug(column: Column) -> Column:
-    return none_if_empty(F.lower(F.regexp_extract(path_of(column), r"(?:^|/)opportunities/+([^/]+)/*$", 1)))
+    return slug_of_path(path_of(column))
 
 
 def last_part_or_host(column: Column) -> Column:

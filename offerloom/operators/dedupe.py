@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions import urls
 from ..functions.dates import status_on
-from ..functions.text import text_or_empty, words_key
+from ..functions.text import once, text_or_empty, words_key
 from ..model import DEFAULT_BOOK, SourceBook
 from ..session import cut_lineage
 
@@ -41,16 +41,19 @@ def canonical_keys(url: Column, description: Column, title: Column, closes: Colu
         return F.concat(F.lit(f"{tag}:"), value)
 
     def keys_of(link: Column) -> Column:
-        generic = urls.is_generic_partner_link(link, partner_host, generic_path)
-        return F.array(
-            F.when(~generic, tagged("url", urls.link_key(link))),
-            tagged("ifs", urls.competition_of(link)), tagged("iukbc", urls.offer_slug(link)))
+        def keys(parts: Column) -> Column:
+            generic = F.lower(parts["host"]).endswith(partner_host) & parts["path"].startswith(generic_path)
+            return F.array(
+                F.when(~generic, tagged("url", urls.key_of_parts(parts))),
+                tagged("ifs", urls.competition_of(link)), tagged("iukbc", urls.slug_of_path(parts["path"])))
+
+        return once(urls.parts_of(link), keys)
 
     own = F.array(
         tagged("ifs", urls.competition_of(url)), tagged("iukbc", urls.offer_slug(url)),
         F.when(text_or_empty(title) != "",
                F.concat(F.lit("title-close:"), words_key(title), F.lit(":"), closes.cast("string"))))
-    return F.array_distinct(F.array_compact(F.concat(F.flatten(F.transform(links, keys_of)), own)))
+    return F.array_distinct(F.array_compact(F.concat(F.flatten(F.transform(F.array_distinct(links), keys_of)), own)))
 
 
 def candidates(base: DataFrame, as_of) -> DataFrame:
@@ -69,7 +72,8 @@ def ranked_keys(base: DataFrame, as_of, book: SourceBook = DEFAULT_BOOK, **key_o
     keyed = candidates(base, as_of).select(
         "id", book.priority_of(F.col("source")).alias("priority"), "title",
         canonical_keys(F.col("url"), F.col("description"), F.col("title"), F.col("closes_date"), **key_options).alias("keys"))
-    ordered = keyed.orderBy("priority", "title", "id").select(
+    # A range sort reads its input twice, once for the bounds: let that be a scan.
+    ordered = cut_lineage(keyed, "keyed").orderBy("priority", "title", "id").select(
         "id", F.monotonically_increasing_id().alias("rank"), F.array_sort("keys").alias("keys"))
     return cut_lineage(ordered, "ranked")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import fixed_values as fv
 from ..functions.dates import status_on
 from ..model import CATALOGUE, CATALOGUE_COLUMNS, LATE_COLUMNS, SourceSpec
 from . import classify as cl
@@ -36,18 +37,31 @@ def with_status(batch: DataFrame, as_of, rolling: bool = True) -> DataFrame:
         F.col("opened_date"), F.col("closes_date"), F.lit(as_of).cast("date"), rolling=rolling))
 
 
-def prepare_batch(batch: DataFrame, spec: SourceSpec, as_of, now, order: list | None = None) -> DataFrame:
-    """Typed, one row per id, not expired, classed, with status and time stamp."""
-    have = set(batch.columns)
-    for f in CATALOGUE.fields:
-        if f.name not in have:
-            batch = batch.withColumn(f.name, F.lit(None).cast(f.dataType))
-    batch = batch.where(F.col("id").isNotNull())
-    if order:
-        batch = first_per_key(batch, ["id"], order)
-    alive = with_status(batch, as_of, spec.rolling).where(F.col("status") != "expired")
+def prepare_batches(batches: list[tuple[DataFrame, SourceSpec]], as_of, now, order: list | None = None) -> DataFrame:
+    """Items of all sources, typed, one row per id, not expired, classed and stamped.
+
+    ``_spec`` names the source.  Everything costly runs once over the union.
+    """
+    by_order = [F.col(c) if isinstance(c, str) else c for c in order or []]
+
+    def typed(batch: DataFrame, spec: SourceSpec) -> DataFrame:
+        have = set(batch.columns)
+        columns = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in CATALOGUE.fields]
+        others = [F.col(c) for c in fv.CLASS_TEXT_FIELDS if c in have and c not in CATALOGUE_COLUMNS]
+        return batch.where(F.col("id").isNotNull()).select(
+            *columns, *others, *[c.alias(f"_order{i}") for i, c in enumerate(by_order)], F.lit(spec.name).alias("_spec"))
+
+    whole = union_items([typed(batch, spec) for batch, spec in batches])
+    if by_order:
+        whole = first_per_key(whole, ["_spec", "id"], [f"_order{i}" for i in range(len(by_order))])
+    day = F.lit(as_of).cast("date")
+    no_rolling = [spec.name for _, spec in batches if not spec.rolling]
+    status = status_on(F.col("opened_date"), F.col("closes_date"), day)
+    if no_rolling:
+        status = F.when(F.col("_spec").isin(*no_rolling) & (status == "rolling"), F.lit("open")).otherwise(status)
+    alive = whole.withColumn("status", status).where(F.col("status") != "expired")
     classed = cl.classify(alive, keep_given=True)
-    return classed.withColumn("last_seen", F.lit(now).cast("timestamp")).select(*CATALOGUE_COLUMNS)
+    return classed.withColumn("last_seen", F.lit(now).cast("timestamp")).select("_spec", *CATALOGUE_COLUMNS)
 
 
 def purge_closed(base: DataFrame, spec: SourceSpec, as_of) -> DataFrame:
@@ -66,8 +80,7 @@ def upsert_all(base: DataFrame, batches: list[tuple[DataFrame, SourceSpec]], as_
     many sources there are.
     """
     specs = [spec for _, spec in batches]
-    fresh = union_items([
-        prepare_batch(batch, spec, as_of, now, order).withColumn("_spec", F.lit(spec.name)) for batch, spec in batches])
+    fresh = prepare_batches(batches, as_of, now, order)
     for spec in specs:
         if spec.purge_closed:
             base = purge_closed(base, spec, as_of)

@@ -46,6 +46,8 @@ def local_session(cores: str = "8", app: str = "offerloom", **extra: str) -> Spa
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        # Call-site capture costs several driver round trips per column expression.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **SETTINGS,
         **extra,
     }
