@@ -49,9 +49,14 @@ def stated_place(keyed: Column) -> Column:
         place_of_words(F.nullif(F.regexp_extract(keyed, p, 1), F.lit(""))) for p in fv.PLACE_EXPLICIT_PATTERNS])
 
 
+def place_by_phrase(keyed: Column, phrases=fv.PLACE_PHRASES) -> Column:
+    """Place by the names of funders and funds, in order; the whole country otherwise."""
+    return _first_of([(_any_phrase(keyed, p, rx), place) for place, p, rx in phrases], F.lit(fv.UK_WIDE))
+
+
 def place_from_key(keyed: Column, source: Column, phrases=fv.PLACE_PHRASES) -> Column:
     fixed = F.lower(F.trim(text_or_empty(source))).isin(*fv.EU_SOURCES)
-    by_phrase = _first_of([(_any_phrase(keyed, p, rx), place) for place, p, rx in phrases], F.lit(fv.UK_WIDE))
+    by_phrase = place_by_phrase(keyed, phrases)
     return F.when(fixed, F.lit(fv.UK_WIDE)).when(keyed == "", F.lit(fv.UNKNOWN_PLACE)).otherwise(
         F.coalesce(stated_place(keyed), by_phrase))
 

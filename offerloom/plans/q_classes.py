@@ -1,0 +1,210 @@
+"""Place and applicant classes: known phrases per nation row, and whole documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixed_values as fv
+from ..functions.text import phrase_key, phrase_literal
+from ..operators import classify as cl
+from .registry import query
+from .sample import table
+
+# One text and source per nation key, with the class it has to get.
+PLACES = [
+    ("uk_wide", "ukri", "Open innovation grant. UK businesses can apply."),
+    ("uk_wide", "horizon_europe", "A call for Wales"),
+    ("scotland", "konfer", "SMART: Scotland grant"),
+    ("scotland", "ukri", "Run by Scottish  Enterprise."),
+    ("scotland", "ukri", "Highlands & Islands Enterprise fund"),
+    ("scotland", "ukri", "A programme for Scotland."),
+    ("wales", "ukri", "Development Bank of Wales loans"),
+    ("wales", "ukri", "Backed by the Welsh-Government"),
+    ("wales", "ukri", "Innovation grants for Wales"),
+    ("northern_ireland", "ukri", "Invest NI support"),
+    ("northern_ireland", "ukri", "Support for Northern Ireland businesses."),
+    ("england_east_midlands,england_west_midlands", "ukri", "Midlands Engine Investment Fund"),
+    ("england_north_east,england_north_west,england_yorkshire", "ukri", "Northern Powerhouse Investment Fund"),
+    ("england_south_west", "ukri", "South West Investment Fund"),
+    ("england_yorkshire", "ukri", "Yorkshire & Humber Investment Fund"),
+    ("england_east", "ukri", "East of England Investment Fund"),
+    ("england_london", "ukri", "Open to businesses based in London."),
+    ("england", "ukri", "Applicants must be registered in England."),
+    ("wales", "ukri", "Companies based in Wales or Scottish Enterprise areas"),
+    ("scotland", "ukri", "Companies located in Europe, from Scottish Enterprise"),
+    ("england_east", "ukri", "For SMEs located in the East of England"),
+    ("england_yorkshire", "ukri", "Organisations based in Hull and the Humber"),
+    ("uk_wide", "Horizon Europe ", "Invest NI"),
+    ("uk_wide", "ukri", "Businesses based in France"),
+    ("northern_ireland", "ukri", "We invest nine million"),
+]
+APPLICANTS = [
+    ("academic", "ukri", "EPSRC standard research grant. This funding is for universities and higher education institutions."),
+    ("business,academic", "ukri", "Accelerated Knowledge Transfer Partnerships 6"),
+    ("business,academic", "innovate_uk", "An AKTP call"),
+    ("business", "innovate_uk", "Smart grants. UK registered SMEs can apply."),
+    ("any", "horizon_europe", "Fellowship"),
+    ("any", "konfer", "Open innovation support"),
+    ("individual", "ukri", "Early career awards"),
+    ("academic,individual", "ukri", "Doctoral awards at a university"),
+    ("academic,individual", "ukri", "PhD students and their theses"),
+    ("business,academic", "innovate_uk", "Projects for universities must include one academic partner"),
+    ("business", "konfer", "Collaborative R&D for universities"),
+    ("business,academic", "konfer", "Loan fund for universities, requires a university partner"),
+    ("business,research_org", "konfer", "Eligible: companies and Catapults"),
+    ("public_sector,charity", "konfer", "Open to charities, the NHS and not-for-profits"),
+    ("any", "konfer", "Charities"),
+    ("academic", "konfer", "A call of the Natural Environment Research Council"),
+    ("individual", "konfer", "Apply as researchers"),
+    ("business", "iuk_business_connect", "Help with SBRI"),
+    ("business", "Innovate UK", "Anything"),
+    ("any", "konfer", "Horizon scanning"),
+    ("business,academic,research_org,public_sector,charity,individual", "konfer",
+     "Applicants: enterprises, HEIs, RTOs, local authorities, charity, individuals"),
+    ("academic", "konfer", "STFC"),
+    ("individual", "konfer", "New  Investigator scheme of the ESRC"),
+    ("business", "konfer", "Accelerators for students"),
+    ("any", "konfer", "Grants in general"),
+]
+
+
+def _by_nation(column, values):
+    chain = None
+    for key, value in enumerate(values):
+        chain = (chain if chain is not None else F).when(column == key, F.lit(value))
+    return chain
+
+
+def _case(values, column="c_nationkey"):
+    quoted = [v.replace("'", "''") for v in values]
+    return f"case {column} " + " ".join(f"when {k} then '{v}'" for k, v in enumerate(quoted)) + " end"
+
+
+def offers(spark, folder, cases):
+    """Customers as offers whose text goes by their nation."""
+    key = F.col("c_nationkey")
+    return table(spark, folder, "customer").select(
+        "c_custkey", "c_nationkey", _by_nation(key, [s for _, s, _ in cases]).alias("source"),
+        F.col("c_name").alias("title"), _by_nation(key, [t for _, _, t in cases]).alias("description"))
+
+
+def keyed(df):
+    return df.withColumn("k", phrase_key(cl.class_text(df)))
+
+
+@query("k01_place", f"select c_custkey, {_case([p for p, _, _ in PLACES])} as place from customer")
+def _(spark, folder):
+    return cl.classify(offers(spark, folder, PLACES)).select("c_custkey", F.col("geographic_scope").alias("place"))
+
+
+@query("k05_applicants", f"select c_custkey, {_case([a for a, _, _ in APPLICANTS])} as applicants from customer")
+def _(spark, folder):
+    return cl.classify(offers(spark, folder, APPLICANTS)).select("c_custkey", F.col("eligible_applicants").alias("applicants"))
+
+
+# --- the same rules as SQL over keyed text, for whole documents ---------------------
+
+DOC_KEY = "trim(regexp_replace(lower(replace('ukri' || chr(10) || text, '&', ' and ')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _holds(phrases):
+    return "(" + " or ".join(f"contains(k, '{phrase_literal(p)}')" for p in phrases) + ")"
+
+
+def _like(pattern):
+    return f"regexp_matches(k, '{pattern}')"
+
+
+def _place_words_sql(expression):
+    rules = [f"when {' or '.join(f'''contains(w, '{w}')''' for w in words)} then '{place}'" for place, words in fv.PLACE_WORDS]
+    return f"(select case {' '.join(rules)} when regexp_matches(w, '{fv.PLACE_EAST_PATTERN}') then 'england_east' when contains(w, 'england') then 'england' end from (select {expression} as w))"
+
+
+PLACE_SQL = "coalesce(" + ", ".join(_place_words_sql(f"regexp_extract(k, '{p}', 1)") for p in fv.PLACE_EXPLICIT_PATTERNS) + ", case " + " ".join(
+    f"when {_holds(p)}{' or ' + _like(rx) if rx else ''} then '{place}'" for place, p, rx in fv.PLACE_PHRASES) + " else 'uk_wide' end)"
+GATE, STATED = _like(fv.APPLICANT_GATE), dict(fv.APPLICANT_PATTERNS)
+STATED_SQL = "concat_ws(',', " + ", ".join(f"case when {GATE} and {_like(p)} then '{kind}' end" for kind, p in fv.APPLICANT_PATTERNS) + ")"
+APPLICANT_SQL = f"""case when {_like(fv.PARTNERSHIP_PATTERN)} then 'business,academic'
+ when {_like(fv.PERSONAL_PATTERN)} then case when {_holds(fv.PERSONAL_ACADEMIC_PHRASES)} then 'academic,individual' else 'individual' end
+ when {_holds(fv.BUSINESS_PHRASES)} then case when {GATE} and {_like(STATED['academic'])} and {_like(fv.PARTNER_NEEDED_PATTERN)} then 'business,academic' else 'business' end
+ when {STATED_SQL} <> '' then {STATED_SQL} when {_holds(fv.COUNCIL_NAMES)} then 'academic' else 'any' end"""
+
+
+def documents(spark, folder):
+    df = table(spark, folder, "documents").select("doc_id", F.lit("ukri").alias("source"), F.col("text").alias("description"))
+    return df
+
+
+@query("k01_place_documents", f"select doc_id, {PLACE_SQL} as place from (select doc_id, {DOC_KEY} as k from documents)")
+def _(spark, folder):
+    return cl.classify(documents(spark, folder)).select("doc_id", F.col("geographic_scope").alias("place"))
+
+
+@query("k05_applicants_documents", f"select doc_id, {APPLICANT_SQL} as applicants from (select doc_id, {DOC_KEY} as k from documents)")
+def _(spark, folder):
+    return cl.classify(documents(spark, folder)).select("doc_id", F.col("eligible_applicants").alias("applicants"))
+
+
+@query("k02_stated_place", f"select c_custkey, place from (select c_custkey, case c_nationkey when 16 then 'england_london' when 17 then 'england' when 18 then 'wales' when 20 then 'england_east' when 21 then 'england_yorkshire' end as place from customer)")
+def _(spark, folder):
+    return keyed(offers(spark, folder, PLACES)).select("c_custkey", cl.stated_place(F.col("k")).alias("place"))
+
+
+@query("k03_place_words", """select c_custkey, case when c_mktsegment = 'MACHINERY' then 'scotland' when c_mktsegment = 'FURNITURE' then 'england_west_midlands'
+ when c_mktsegment = 'HOUSEHOLD' then 'england_east' when c_mktsegment = 'BUILDING' then 'england' end as place from customer""")
+def _(spark, folder):
+    words = F.create_map(*[F.lit(v) for pair in (
+        ("MACHINERY", "Wales and SCOTLAND"), ("FURNITURE", "the West-Midlands, England"), ("HOUSEHOLD", "East England"), ("BUILDING", "Eastern England")) for v in pair])
+    return table(spark, folder, "customer").select("c_custkey", cl.place_of_words(F.try_element_at(words, F.col("c_mktsegment"))).alias("place"))
+
+
+FUND_PLACES = [
+    "uk_wide", "wales", "scotland", "scotland", "scotland", "scotland", "wales", "wales", "wales", "northern_ireland", "northern_ireland",
+    "england_east_midlands,england_west_midlands", "england_north_east,england_north_west,england_yorkshire", "england_south_west",
+    "england_yorkshire", "england_east", "uk_wide", "uk_wide", "scotland", "scotland", "uk_wide", "uk_wide", "northern_ireland", "uk_wide",
+    "northern_ireland"]
+
+
+@query("k04_fund_phrases", f"select c_custkey, {_case(FUND_PLACES)} as place from customer")
+def _(spark, folder):
+    df = keyed(offers(spark, folder, PLACES))
+    unstated = cl.place_by_phrase(F.col("k"))
+    return df.select("c_custkey", unstated.alias("place"))
+
+
+@query("k06_stated_applicants", "select c_custkey, " + _case([
+    "academic", "", "", "business", "", "", "", "", "", "academic", "academic", "academic", "business,research_org", "public_sector,charity", "", "", "individual", "", "", "",
+    "business,academic,research_org,public_sector,charity,individual", "", "", "individual", ""]) + " as kinds from customer")
+def _(spark, folder):
+    return keyed(offers(spark, folder, APPLICANTS)).select("c_custkey", F.array_join(cl.stated_applicants(F.col("k")), ",").alias("kinds"))
+
+
+@query("k07_topic_tests", """select c_custkey, c_nationkey in (1, 2) as partnership, c_nationkey in (4, 6, 7, 8, 22) as personal, c_nationkey in (2, 3, 9, 10, 11, 17, 18, 23) as business from customer""")
+def _(spark, folder):
+    k = F.col("k")
+    return keyed(offers(spark, folder, APPLICANTS)).select(
+        "c_custkey", cl.is_partnership(k).alias("partnership"), cl.is_personal(k).alias("personal"), cl.is_business_programme(k).alias("business"))
+
+
+@query("k08_council_names", "select c_custkey, c_nationkey in (0, 15, 21, 22) as council from customer")
+def _(spark, folder):
+    return keyed(offers(spark, folder, APPLICANTS)).select("c_custkey", cl.names_council(F.col("k")).alias("council"))
+
+
+@query("k09_partner_needed", "select c_custkey, c_nationkey in (9, 11) as needed from customer")
+def _(spark, folder):
+    return keyed(offers(spark, folder, APPLICANTS)).select("c_custkey", cl.needs_academic_partner(F.col("k")).alias("needed"))
+
+
+@query("k10_applicant_set", """select c_custkey, case when c_acctbal < 0 then 'any' when c_mktsegment = 'BUILDING' then 'any' else 'business,charity' || case when c_nationkey < 10 then ',individual' else '' end end as applicants from customer""")
+def _(spark, folder):
+    values = F.array_compact(F.array(F.when(F.col("c_nationkey") < 10, "individual"), F.lit("charity"), F.lit("business"), F.when(F.col("c_acctbal") < 0, "any")))
+    none = F.slice(values, 1, 0)
+    return table(spark, folder, "customer").select(
+        "c_custkey", cl.applicant_set(F.when(F.col("c_mktsegment") == "BUILDING", none).otherwise(values)).alias("applicants"))
+
+
+@query("k11_class_text", "select c_custkey, " + _case([s for _, s, _ in PLACES]) + " || chr(10) || c_name || chr(10) || " + _case([t for _, _, t in PLACES]) + " as text from customer")
+def _(spark, folder):
+    df = offers(spark, folder, PLACES)
+    return df.select("c_custkey", cl.class_text(df).alias("text"))
