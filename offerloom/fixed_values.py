@@ -70,6 +70,7 @@ PLACE_EXPLICIT_PATTERNS = (
     r"\bopen\s+to\s+(?:businesses|organisations|applicants|companies|smes|enterprises)\s+(?:based|located|registered)\s+in\s+([a-z ]+)",
     r"\bfor\s+(?:businesses|organisations|applicants|companies|smes|enterprises)\s+(?:based|located|registered)\s+in\s+([a-z ]+)",
 )
+PLACE_EXPLICIT_MARKS = ("based in", "located in", "registered in")
 PLACE_WORDS = (
     ("scotland", ("scotland",)),
     ("wales", ("wales",)),
@@ -105,17 +106,28 @@ PLACE_PHRASES = (
 # --- Fixed values: applicants ------------------------------------------------
 ANY_APPLICANT = "any"
 APPLICANT_ORDER = ("business", "academic", "research_org", "public_sector", "charity", "individual")
-APPLICANT_GATE = r"\b(?:eligible|eligibility|apply|applicants?|open to|for|must be|lead organisation|lead applicant|can apply)\b"
-APPLICANT_PATTERNS = (
-    ("business", r"\b(?:businesses|companies|smes|micro businesses|enterprises|industry partners?)\b"),
-    ("academic", r"\b(?:universities|university|higher education institutions?|heis?|academic institutions?)\b"),
-    ("research_org", r"\b(?:research organisations?|research institutes?|rtos?|catapults?)\b"),
-    ("public_sector", r"\b(?:public sector|local authorities|local authority|nhs|government departments?)\b"),
-    ("charity", r"\b(?:charities|charity|non profits?|not for profits?|voluntary organisations?)\b"),
-    ("individual", r"\b(?:individuals|doctoral students?|students?|fellows?|researchers?)\b"),
+APPLICANT_GATE_WORDS = (
+    "eligible", "eligibility", "apply", "applicant", "applicants", "open to", "for", "must be",
+    "lead organisation", "lead applicant", "can apply",
+)
+APPLICANT_WORDS = (
+    ("business", ("businesses", "companies", "smes", "micro businesses", "enterprises",
+                  "industry partner", "industry partners")),
+    ("academic", ("universities", "university", "higher education institution", "higher education institutions",
+                  "hei", "heis", "academic institution", "academic institutions")),
+    ("research_org", ("research organisation", "research organisations", "research institute", "research institutes",
+                      "rto", "rtos", "catapult", "catapults")),
+    ("public_sector", ("public sector", "local authorities", "local authority", "nhs",
+                       "government department", "government departments")),
+    ("charity", ("charities", "charity", "non profit", "non profits", "not for profit", "not for profits",
+                 "voluntary organisation", "voluntary organisations")),
+    ("individual", ("individuals", "doctoral student", "doctoral students", "student", "students",
+                    "fellow", "fellows", "researcher", "researchers")),
+)
+PARTNERSHIP_WORDS = ("knowledge transfer partnership", "knowledge transfer partnerships", "aktp", "ktp")
+PERSONAL_WORDS = (
+    "fellowship", "fellowships", "doctoral", "studentship", "phd", "early career", "new investigator", "personal award",
 )
-PARTNERSHIP_PATTERN = r"\b(?:accelerated\s+)?knowledge transfer partnership(?:s)?\b|\baktp\b|\bktp\b"
-PERSONAL_PATTERN = r"\b(?:fellowship|fellowships|doctoral|studentship|phd|early career|new investigator|personal award)\b"
 PERSONAL_ACADEMIC_PHRASES = ("university", "higher education institution", "hei", "academic institution")
 BUSINESS_PHRASES = (
     "Innovate UK", "SMART grant", "SMART grants", "Contracts for Innovation",

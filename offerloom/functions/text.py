@@ -70,14 +70,23 @@ def phrase_literal(phrase: str) -> str:
     return " ".join(kept.split())
 
 
-def has_phrase(keyed: Column, phrases, whole_word: bool = False) -> Column:
-    """True where an already keyed text holds any phrase, by default as a substring."""
-    if whole_word:
-        padded = F.concat(F.lit(" "), keyed, F.lit(" "))
-        tests = [F.contains(padded, F.lit(f" {phrase_literal(p)} ")) for p in phrases]
-    else:
-        tests = [F.contains(keyed, F.lit(phrase_literal(p))) for p in phrases]
-    return reduce(or_, tests)
+def padded_key(column: Column) -> Column:
+    """``phrase_key`` with a blank at both ends, so that whole words can be told."""
+    return F.concat(F.lit(" "), phrase_key(column), F.lit(" "))
+
+
+def has_phrase(keyed: Column, phrases) -> Column:
+    """True where a keyed text holds any phrase, be it inside a word."""
+    return reduce(or_, [F.contains(keyed, F.lit(phrase_literal(p))) for p in phrases])
+
+
+def has_words(padded: Column, phrases) -> Column:
+    """True where a padded key holds any phrase as whole words.
+
+    Keyed text is a-z, 0-9 and single blanks, so this equals a word-boundary
+    pattern and costs a plain byte search.
+    """
+    return reduce(or_, [F.contains(padded, F.lit(f" {phrase_literal(p)} ")) for p in phrases])
 
 
 def join_filled(separator: str, *parts: Column) -> Column:

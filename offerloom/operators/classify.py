@@ -1,4 +1,7 @@
-"""Where an offer applies and who may apply: ordered text rules as one expression."""
+"""Where an offer applies and who may apply: ordered text rules as one expression.
+
+The tests take a padded key (``functions.text.padded_key``) of the text.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
-from ..functions.text import has_phrase, once, phrase_key, text_or_empty
+from ..functions.text import has_phrase, has_words, none_if_empty, once, padded_key, phrase_key, text_or_empty
 
 
 def class_text(df: DataFrame, fields=fv.CLASS_TEXT_FIELDS) -> Column:
@@ -45,8 +48,10 @@ def place_of_words(location: Column) -> Column:
 
 def stated_place(keyed: Column) -> Column:
     """Place after "based in" and the like; a pattern that names no place yields to the next."""
-    return F.coalesce(*[
-        place_of_words(F.nullif(F.regexp_extract(keyed, p, 1), F.lit(""))) for p in fv.PLACE_EXPLICIT_PATTERNS])
+    found = F.coalesce(*[
+        place_of_words(none_if_empty(F.regexp_extract(keyed, p, 1))) for p in fv.PLACE_EXPLICIT_PATTERNS])
+    # Every pattern holds one of these marks; most texts hold none.
+    return F.when(has_words(keyed, fv.PLACE_EXPLICIT_MARKS), found)
 
 
 def place_by_phrase(keyed: Column, phrases=fv.PLACE_PHRASES) -> Column:
@@ -57,16 +62,16 @@ def place_by_phrase(keyed: Column, phrases=fv.PLACE_PHRASES) -> Column:
 def place_from_key(keyed: Column, source: Column, phrases=fv.PLACE_PHRASES) -> Column:
     fixed = F.lower(F.trim(text_or_empty(source))).isin(*fv.EU_SOURCES)
     by_phrase = place_by_phrase(keyed, phrases)
-    return F.when(fixed, F.lit(fv.UK_WIDE)).when(keyed == "", F.lit(fv.UNKNOWN_PLACE)).otherwise(
+    return F.when(fixed, F.lit(fv.UK_WIDE)).when(F.trim(keyed) == "", F.lit(fv.UNKNOWN_PLACE)).otherwise(
         F.coalesce(stated_place(keyed), by_phrase))
 
 
 def is_partnership(keyed: Column) -> Column:
-    return keyed.rlike(fv.PARTNERSHIP_PATTERN)
+    return has_words(keyed, fv.PARTNERSHIP_WORDS)
 
 
 def is_personal(keyed: Column) -> Column:
-    return keyed.rlike(fv.PERSONAL_PATTERN)
+    return has_words(keyed, fv.PERSONAL_WORDS)
 
 
 def is_business_programme(keyed: Column) -> Column:
@@ -91,17 +96,17 @@ def applicant_set(values: Column) -> Column:
 
 def stated_applicants(keyed: Column) -> Column:
     """Applicant kinds named in the text, if it speaks of applying at all."""
-    kinds = [F.when(keyed.rlike(p), F.lit(kind)) for kind, p in fv.APPLICANT_PATTERNS]
-    return F.when(keyed.rlike(fv.APPLICANT_GATE), F.array_compact(F.array(*kinds))).otherwise(
+    kinds = [F.when(has_words(keyed, words), F.lit(kind)) for kind, words in fv.APPLICANT_WORDS]
+    return F.when(has_words(keyed, fv.APPLICANT_GATE_WORDS), F.array_compact(F.array(*kinds))).otherwise(
         F.array().cast("array<string>"))
 
 
 def applicants_from_key(keyed: Column, source: Column) -> Column:
     low = F.lower(F.trim(text_or_empty(source)))
-    academic = dict(fv.APPLICANT_PATTERNS)["academic"]
-    joint = keyed.rlike(fv.APPLICANT_GATE) & keyed.rlike(academic) & needs_academic_partner(keyed)
+    academic = dict(fv.APPLICANT_WORDS)["academic"]
+    joint = has_words(keyed, academic) & has_words(keyed, fv.APPLICANT_GATE_WORDS) & needs_academic_partner(keyed)
     return (
-        F.when((keyed == "") | low.isin(*fv.EU_SOURCES), F.lit(fv.ANY_APPLICANT))
+        F.when((F.trim(keyed) == "") | low.isin(*fv.EU_SOURCES), F.lit(fv.ANY_APPLICANT))
         .when(is_partnership(keyed), F.lit("business,academic"))
         .when(is_personal(keyed), F.when(
             has_phrase(keyed, fv.PERSONAL_ACADEMIC_PHRASES), F.lit("academic,individual")).otherwise(F.lit("individual")))
@@ -114,7 +119,7 @@ def applicants_from_key(keyed: Column, source: Column) -> Column:
 
 def classify(df: DataFrame, fields=fv.CLASS_TEXT_FIELDS, keep_given: bool = False) -> DataFrame:
     """Set both class columns.  The text is keyed once and shared by all rules."""
-    keyed = df.withColumn("_keyed", phrase_key(class_text(df, fields)))
+    keyed = df.withColumn("_keyed", padded_key(class_text(df, fields)))
     source = F.col("source") if "source" in df.columns else F.lit(None).cast("string")
     place = place_from_key(F.col("_keyed"), source)
     who = applicants_from_key(F.col("_keyed"), source)

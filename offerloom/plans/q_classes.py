@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.text import phrase_key, phrase_literal
+from ..functions.text import padded_key, phrase_literal
 from ..operators import classify as cl
 from .registry import query
-from .sample import table
+from .sample import spread_table, table
 
 # One text and source per nation key, with the class it has to get.
 PLACES = [
@@ -89,7 +89,7 @@ def offers(spark, folder, cases):
 
 
 def keyed(df):
-    return df.withColumn("k", phrase_key(cl.class_text(df)))
+    return df.withColumn("k", padded_key(cl.class_text(df)))
 
 
 @query("k01_place", f"select c_custkey, {_case([p for p, _, _ in PLACES])} as place from customer")
@@ -122,16 +122,20 @@ def _place_words_sql(expression):
 
 PLACE_SQL = "coalesce(" + ", ".join(_place_words_sql(f"regexp_extract(k, '{p}', 1)") for p in fv.PLACE_EXPLICIT_PATTERNS) + ", case " + " ".join(
     f"when {_holds(p)}{' or ' + _like(rx) if rx else ''} then '{place}'" for place, p, rx in fv.PLACE_PHRASES) + " else 'uk_wide' end)"
-GATE, STATED = _like(fv.APPLICANT_GATE), dict(fv.APPLICANT_PATTERNS)
-STATED_SQL = "concat_ws(',', " + ", ".join(f"case when {GATE} and {_like(p)} then '{kind}' end" for kind, p in fv.APPLICANT_PATTERNS) + ")"
-APPLICANT_SQL = f"""case when {_like(fv.PARTNERSHIP_PATTERN)} then 'business,academic'
- when {_like(fv.PERSONAL_PATTERN)} then case when {_holds(fv.PERSONAL_ACADEMIC_PHRASES)} then 'academic,individual' else 'individual' end
- when {_holds(fv.BUSINESS_PHRASES)} then case when {GATE} and {_like(STATED['academic'])} and {_like(fv.PARTNER_NEEDED_PATTERN)} then 'business,academic' else 'business' end
+def _words(words):
+    return _like(r"\b(?:" + "|".join(words) + r")\b")
+
+
+GATE, STATED = _words(fv.APPLICANT_GATE_WORDS), {kind: _words(w) for kind, w in fv.APPLICANT_WORDS}
+STATED_SQL = "concat_ws(',', " + ", ".join(f"case when {GATE} and {test} then '{kind}' end" for kind, test in STATED.items()) + ")"
+APPLICANT_SQL = f"""case when {_words(fv.PARTNERSHIP_WORDS)} then 'business,academic'
+ when {_words(fv.PERSONAL_WORDS)} then case when {_holds(fv.PERSONAL_ACADEMIC_PHRASES)} then 'academic,individual' else 'individual' end
+ when {_holds(fv.BUSINESS_PHRASES)} then case when {GATE} and {STATED['academic']} and {_like(fv.PARTNER_NEEDED_PATTERN)} then 'business,academic' else 'business' end
  when {STATED_SQL} <> '' then {STATED_SQL} when {_holds(fv.COUNCIL_NAMES)} then 'academic' else 'any' end"""
 
 
 def documents(spark, folder):
-    df = table(spark, folder, "documents").select("doc_id", F.lit("ukri").alias("source"), F.col("text").alias("description"))
+    df = spread_table(spark, folder, "documents").select("doc_id", F.lit("ukri").alias("source"), F.col("text").alias("description"))
     return df
 
 

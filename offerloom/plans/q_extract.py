@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dom, extract, normalise
 from .registry import query
-from .sample import AS_OF, fill, long_day, part_days, shown, table
+from .sample import AS_OF, fill, long_day, part_days, shown, spread_table, table
 
 
 def pages_of(spark, folder, template: str, url: str = "https://site.example.org/list/{p_partkey}", **values):
@@ -244,12 +244,12 @@ PAGE_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_repla
 
 @query("b13_page_text", f"select page_id, md5({PAGE_TEXT}) as digest from pages")
 def _(spark, folder):
-    return extract.page_text(table(spark, folder, "pages")).select("page_id", F.md5("text").alias("digest"))
+    return extract.page_text(spread_table(spark, folder, "pages")).select("page_id", F.md5("text").alias("digest"))
 
 
 @query("b13_page_links", r"""select page_id, count(*) as n, md5(string_agg(link, '|' order by link)) as digest from (select page_id, split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as link from pages) group by page_id""")
 def _(spark, folder):
-    links = extract.page_links(table(spark, folder, "pages")).select("page_id", "target")
+    links = extract.page_links(spread_table(spark, folder, "pages")).select("page_id", "target")
     # A page's links are as many as the page is long, so this group is bounded by a row.
     return links.groupBy("page_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("target")), "|")).alias("digest"))
 
@@ -268,7 +268,7 @@ def budgets(spark, folder):
                 .replace("{{", "\x01").replace("}}", "\x02"), low=F.when(F.col("p_size") < 10, "0").otherwise(F.col("p_size").cast("string")), high=F.col("p_size") * 1000)
     good = F.translate(good, "\x01\x02", "{}")
     flat = F.lit('{"budgetTopicActionMap":{"7":[{"expectedGrants":0,"maxContribution":20000,"budgetYearMap":{}},{"minContribution":25}]}}')
-    return table(spark, folder, "part").withColumn("payloads", F.array(good, F.lit("{broken"), flat))
+    return spread_table(spark, folder, "part").withColumn("payloads", F.array(good, F.lit("{broken"), flat))
 
 
 @query("b15_budget", """select p_partkey, case when p_size < 10 then 25.0 else least(cast(p_size as double), 25.0) end as low, greatest(p_size * 1000.0, 20000.0)::double as high,

@@ -10,7 +10,7 @@ from ..model import DEFAULT_BOOK
 from ..operators import ledger
 from ..operators.dedupe import canonical_keys
 from .registry import query
-from .sample import AS_OF, catalogue, checks, fill, long_day, part_days, shown, table
+from .sample import AS_OF, catalogue, fill, long_day, shown, spread_table, table
 
 BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 SQUASHED = f"trim(regexp_replace(text, '{BLANKS}', ' ', 'g'))"
@@ -21,7 +21,7 @@ def day():
 
 
 def documents(spark, folder):
-    return table(spark, folder, "documents")
+    return spread_table(spark, folder, "documents")
 
 
 @query("c01_squash", f"select doc_id, md5({SQUASHED}) as digest, length({SQUASHED}) as n from documents")
@@ -62,9 +62,9 @@ def _(spark, folder):
 @query("c06_has_phrase", """select doc_id, k like '%of the%' or k like '%for and%' as part, ' ' || k || ' ' like '% of the %' as whole from
  (select doc_id, trim(regexp_replace(lower(replace(text, '&', ' and ')), '[^a-z0-9]+', ' ', 'g')) as k from documents)""")
 def _(spark, folder):
-    df = documents(spark, folder).withColumn("k", tx.phrase_key(F.col("text")))
+    df = documents(spark, folder).withColumn("k", tx.padded_key(F.col("text")))
     return df.select("doc_id", tx.has_phrase(F.col("k"), ["Of The", "for & "]).alias("part"),
-                     tx.has_phrase(F.col("k"), ["of the"], whole_word=True).alias("whole"))
+                     tx.has_words(F.col("k"), ["of the"]).alias("whole"))
 
 
 # --- dates ----------------------------------------------------------------------

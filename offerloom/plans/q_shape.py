@@ -8,7 +8,7 @@ from ..operators import dedupe, enrich, merge, normalise, search as s
 from ..sources import landed
 from . import q_extract as qx
 from .registry import query
-from .sample import AS_OF, catalogue, fill, long_day, part_days, shown, table
+from .sample import AS_OF, catalogue, fill, long_day, part_days, table
 
 BR = "chr(10)"
 GAP = f"{BR} || {BR}"

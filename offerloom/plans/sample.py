@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import spread
+
 AS_OF = dt.date(1998, 6, 1)
 STORED_ON = dt.date(1998, 3, 1)
 NOW = dt.datetime(1998, 6, 1, 6, 0, 0)
@@ -82,6 +84,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table ahead of heavy work per row."""
+    return spread(table(spark, folder, name))
+
+
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Orders, their line totals and one part each, as offers."""
     lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
@@ -128,7 +135,7 @@ def long_day(column: Column) -> Column:
 
 def part_days(spark: SparkSession, folder: str) -> DataFrame:
     """Parts with an opening and a closing day."""
-    return table(spark, folder, "part").withColumns({
+    return spread_table(spark, folder, "part").withColumns({
         "opens": F.expr("date '1998-01-01' + p_size"), "ends": F.expr("date '1998-06-01' + p_size * 2")})
 
 

@@ -70,6 +70,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan that has fewer splits than there are cores out to all of them.
+
+    For tables in one small file ahead of work that is heavy on the processor.  A
+    table of many files has splits enough and is left as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/offerloom/{label}-{uuid.uuid4().hex}"
 
