@@ -71,7 +71,8 @@ def enrich_from_pages(base: DataFrame, pages: DataFrame, as_of, sources=("innova
     """
     due = unenriched(base, sources, now).select("id", (competition_link(F.col("id")) if link is None else link).alias("url"))
     wanted = pages.join(due.where(F.col("url").isNotNull()).select("url").distinct(), "url", "left_semi")
-    wanted = first_per_key(wanted, ["url"], [F.col("fetched_at").desc()]) if "fetched_at" in pages.columns else wanted
+    newest = [F.col("fetched_at").desc()] if "fetched_at" in pages.columns else []
+    wanted = first_per_key(wanted, ["url"], [*newest, "html"])
     details = competition_details(wanted.select("url", "html"))
     asked = join_detail(due.withColumn("_due", F.lit(True)), details, "url").select(
         "id", F.col("url").alias("_url"), "_due", "_found", *[f"detail_{c}" for c in DETAIL_COLUMNS])

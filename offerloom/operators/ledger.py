@@ -117,14 +117,18 @@ def source_health(metadata: DataFrame, sources=fv.HEALTH_SOURCES) -> DataFrame:
 
 
 def health(metadata: DataFrame, today, sources=fv.HEALTH_SOURCES) -> DataFrame:
-    """One row: overall state, its wording, and when it was checked."""
-    tally = source_health(metadata, sources).agg(
-        F.count_if(F.col("status") == "failed").alias("failed"),
-        F.count_if(F.col("status") == "success").alias("succeeded"))
-    run = metadata_value(metadata, fv.LAST_RUN_KEY).select(read_state(F.col("value"), RUN_STATE).alias("run")).agg(
-        F.max("run.status").alias("run_status"), F.max(lenient_stamp(F.col("run.checked_at"))).alias("run_at"))
-    stamp = metadata_value(metadata, fv.LAST_SUCCESS_KEY).agg(F.max(lenient_stamp(F.col("value"))).alias("success_at"))
-    row = tally.crossJoin(run).crossJoin(stamp)
+    """One row: overall state, its wording, and when it was checked; one pass over the ledger."""
+    key, value = F.col("key"), F.col("value")
+    known = key.isin(*[fv.SOURCE_STATUS_PREFIX + name for name, _ in sources])
+    marked = metadata.select(
+        F.when(known, read_state(value, SOURCE_STATE)["status"]).alias("source_status"),
+        F.when(key == fv.LAST_RUN_KEY, read_state(value, RUN_STATE)).alias("run"),
+        F.when(key == fv.LAST_SUCCESS_KEY, lenient_stamp(value)).alias("success_at"))
+    row = marked.agg(
+        F.count_if(F.col("source_status") == "failed").alias("failed"),
+        F.count_if(F.col("source_status") == "success").alias("succeeded"),
+        F.max("run.status").alias("run_status"), F.max(lenient_stamp(F.col("run.checked_at"))).alias("run_at"),
+        F.max("success_at").alias("success_at"))
     failed, succeeded = F.col("failed") > 0, F.col("succeeded") > 0
     told = (
         F.when(F.col("run_status").isin(*RUN_STATES), F.col("run_status"))

@@ -13,6 +13,7 @@ from ..functions import report
 from ..functions.text import contains_any_case
 from ..model import DEFAULT_BOOK, SourceBook
 
+FEW_NAMES = 10_000
 TEXT_COLUMNS = ("title", "summary", "description")
 TAGGED_COLUMNS = ("title", "summary", "sector_tags", "niche_tags", "description")
 
@@ -104,10 +105,16 @@ def with_source_names(df: DataFrame, book: SourceBook = DEFAULT_BOOK) -> DataFra
 
 
 def in_any_spelling(df: DataFrame, wanted: DataFrame, book: SourceBook = DEFAULT_BOOK) -> DataFrame:
-    """Rows of the sources in ``wanted`` (a table of keys), whatever their spelling."""
-    names = source_names(df.sparkSession, book).select("source", F.col("source_key").alias("_key"))
-    keyed = df.join(F.broadcast(names), "source", "left").withColumn("_key", F.coalesce("_key", "source"))
-    return keyed.join(wanted.select(F.col("source_key").alias("_key")), "_key", "left_semi").drop("_key")
+    """Rows of the sources in ``wanted`` (a table of keys), whatever their spelling.
+
+    Sources are few and their rows many, so a shuffle by source would be all skew.
+    The names are broadcast when a count shows they are few, else left to Spark.
+    """
+    asked = wanted.select("source_key").distinct()
+    spelled = asked.join(F.broadcast(source_names(df.sparkSession, book)), "source_key").select("source")
+    stored = spelled.union(asked).distinct()
+    few = stored.limit(FEW_NAMES + 1).count() <= FEW_NAMES
+    return df.join(F.broadcast(stored) if few else stored, "source", "left_semi")
 
 
 def source_filter(df: DataFrame, names, book: SourceBook = DEFAULT_BOOK) -> DataFrame:

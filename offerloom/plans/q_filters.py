@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from .. import fixed_values as fv
 from ..functions import report
@@ -219,9 +219,9 @@ def _(spark, folder):
     ranked = ranked_keys(catalogue(spark, folder), AS_OF).select("id", "rank")
     part = F.shiftright("rank", 33)
     sizes = ranked.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    # One row per partition of the sort, a number the session sets.
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(
-        F.coalesce(F.sum("b.n"), F.lit(0)).alias("offset"))
+    # One row per partition of the sort, a number the session sets, so one task can add them up.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     return ranked.withColumn("part", part).join(F.broadcast(before), "part").select(
         "id", (F.col("offset") + F.col("rank").bitwiseAND((1 << 33) - 1) + 1).alias("place"))
 

@@ -93,3 +93,25 @@ def test_cards(offers):
     assert got["horizon:abc"]["chips"] == ["Data", "Pilot"]
     assert got["OPEN-1"]["chips"] == ["Manufacturing", "Robotics"]
     assert got["horizon:abc"]["reference"] == "ABC"
+
+
+def test_live_filter_reaches_the_files(spark, offers, tmp_path):
+    from offerloom.sources import snapshots
+    root = str(tmp_path / "offers")
+    snapshots.write_snapshot(offers(OPEN, ROLL, dict(OPEN, id="X", status="inactive")), root)
+    form = s.SearchForm(sources=("konfer",), min_funding=1.0)
+    plan = s.search(snapshots.read_snapshot(spark, root), form, AS_OF).select("id")._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    scan = plan[plan.index("Scan parquet"):]
+    assert "NOT (status" in scan.split("PartitionFilters")[1].split("\n")[0]
+    pushed = scan.split("PushedFilters")[1].split("\n")[0]
+    for part in ("closes_date", "funding_max", "In(source"):
+        assert part in pushed
+    read = scan.split("ReadSchema")[1].split("\n")[0]
+    assert "description" not in read and "url" not in read
+
+
+def test_names_in_any_spelling(spark, offers):
+    wanted = spark.createDataFrame([("innovate_uk",), ("elsewhere",)], "source_key string")
+    df = offers(OPEN, ROLL, PARTNER, dict(OPEN, id="E", source="elsewhere"))
+    assert sorted(ids(s.in_any_spelling(df, wanted))) == ["E", "IUK-BC-1", "OPEN-1"]
