@@ -18,6 +18,7 @@ from ..functions.text import once
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(("script", "style", "template"))
+PAGES_PER_BATCH = 256
 
 NODE = T.StructType([
     T.StructField("pos", T.IntegerType()),
@@ -27,41 +28,53 @@ NODE = T.StructType([
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("text", T.StringType()),
 ])
-_ARROW_NODE = pa.struct([
-    ("pos", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
-])
 
 
 class _Reader(HTMLParser):
-    """Collects nodes; unclosed elements stay open until an ancestor closes."""
+    """Collects nodes column by column; unclosed elements stay open until an ancestor closes."""
 
     def __init__(self, prune_tags: frozenset, prune_classes: frozenset):
         super().__init__(convert_charrefs=True)
-        self._prune = (prune_tags, prune_classes)
-        self.nodes: list[dict] = []
+        self._prune_tags, self._prune_classes = prune_tags, prune_classes
+
+    def read(self, page: str) -> int:
+        """Parse one page into the column lists and return its node count."""
+        self.reset()
+        self.tag, self.parent, self.last, self.text, self.attrs = [], [], [], [], []
         self._open: list[tuple[str, int]] = []
-        self._hidden = 0
-        self._silent = 0
+        self._hidden = self._silent = 0
         self._data: list[str] = []
+        self.feed(page)
+        self.close()
+        self._flush()
+        while self._open:
+            self._close()
+        return len(self.tag)
 
     def _add(self, tag: str, attrs: list, text: str | None) -> int:
-        parent = self._open[-1][1] if self._open else -1
-        pos = len(self.nodes)
-        self.nodes.append({"pos": pos, "last": pos, "parent": parent, "tag": tag, "attrs": attrs, "text": text})
+        pos = len(self.tag)
+        self.tag.append(tag)
+        self.parent.append(self._open[-1][1] if self._open else -1)
+        self.last.append(pos)
+        self.text.append(text)
+        self.attrs.append(attrs)
         return pos
 
     def _flush(self) -> None:
-        piece = "".join(self._data).strip()
-        self._data.clear()
-        if piece and not self._hidden and not self._silent:
-            self._add("", [], piece)
+        if self._data:
+            piece = "".join(self._data).strip()
+            self._data.clear()
+            if piece and not self._hidden and not self._silent:
+                self._add("", [], piece)
 
     def handle_starttag(self, tag, attrs):
         self._flush()
-        values = {k: (" ".join((v or "").split()) if k == "class" else v or "") for k, v in attrs}
-        hidden = tag in self._prune[0] or not self._prune[1].isdisjoint(values.get("class", "").split())
-        pos = -1 if hidden or self._hidden else self._add(tag, list(values.items()), None)
+        values = dict(attrs)
+        classes = (values.get("class") or "").split()
+        if classes:
+            values["class"] = " ".join(classes)
+        hidden = tag in self._prune_tags or not self._prune_classes.isdisjoint(classes)
+        pos = -1 if hidden or self._hidden else self._add(tag, [(k, v or "") for k, v in values.items()], None)
         if tag not in VOID:
             self._open.append((tag, pos))
             self._hidden += pos < 0
@@ -77,7 +90,7 @@ class _Reader(HTMLParser):
         if pos < 0:
             self._hidden -= 1
         else:
-            self.nodes[pos]["last"] = len(self.nodes) - 1
+            self.last[pos] = len(self.tag) - 1
         self._silent -= tag in SILENT
         return tag
 
@@ -90,17 +103,39 @@ class _Reader(HTMLParser):
     def handle_data(self, data):
         self._data.append(data)
 
+    def updatepos(self, i, j):
+        """Line numbers are not wanted; counting them costs time on every tag."""
+        return j
+
     def _boundary(self, _data):
         self._flush()
 
     handle_comment = handle_decl = handle_pi = unknown_decl = _boundary
 
-    def finish(self) -> list[dict]:
-        self.close()
-        self._flush()
-        while self._open:
-            self._close()
-        return self.nodes
+
+def _nodes_of(pages: list[str | None], reader: _Reader) -> pa.Array:
+    """Node lists of a batch of pages, built as columns."""
+    ends, pos, tag, parent, last, text = [0], [], [], [], [], []
+    attr_ends, names, values = [0], [], []
+    for page in pages:
+        count = reader.read(page or "")
+        ends.append(ends[-1] + count)
+        pos.extend(range(count))
+        tag.extend(reader.tag)
+        parent.extend(reader.parent)
+        last.extend(reader.last)
+        text.extend(reader.text)
+        for attrs in reader.attrs:
+            for name, value in attrs:
+                names.append(name)
+                values.append(value)
+            attr_ends.append(len(names))
+    attrs = pa.MapArray.from_arrays(
+        pa.array(attr_ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))
+    fields = [pa.array(pos, pa.int32()), pa.array(last, pa.int32()), pa.array(parent, pa.int32()),
+              pa.array(tag, pa.string()), attrs, pa.array(text, pa.string())]
+    struct = pa.StructArray.from_arrays(fields, names=NODE.fieldNames())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
 
 
 def flatten(pages: DataFrame, html_col: str = "html", prune_tags=(), prune_classes=()) -> DataFrame:
@@ -109,14 +144,13 @@ def flatten(pages: DataFrame, html_col: str = "html", prune_tags=(), prune_class
     tags, classes = frozenset(prune_tags), frozenset(prune_classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(tags, classes)
         for batch in batches:
-            parsed = []
-            for page in batch.column(html_col).to_pylist():
-                reader = _Reader(tags, classes)
-                reader.feed(page or "")
-                parsed.append(reader.finish())
-            nodes = pa.array(parsed, type=pa.list_(_ARROW_NODE))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [nodes], names=kept + ["nodes"])
+            # Short slices bound what the node columns of one output batch can hold.
+            for start in range(0, batch.num_rows, PAGES_PER_BATCH):
+                part = batch.slice(start, PAGES_PER_BATCH)
+                nodes = _nodes_of(part.column(html_col).to_pylist(), reader)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [nodes], names=kept + ["nodes"])
 
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("nodes", T.ArrayType(NODE))])
     return pages.select(*kept, html_col).mapInArrow(run, schema)

@@ -94,7 +94,7 @@ def _(spark, folder):
             .when(n == 2, F.date_format(d, "MMMM d yyyy")).when(n == 3, F.concat(number, ending, F.date_format(d, "  MMMM yyyy")))
             .when(n == 4, F.date_format(d, "yyyy-MM-dd")).when(n == 5, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T23:30:00Z")))
             .when(n == 6, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T00:10:00.5+05:00"))).otherwise("soon"))
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", dates.loose_date(text).alias("day"))
+    return spread_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", dates.loose_date(text).alias("day"))
 
 
 @query("c10_cell_date", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_linenumber <= 4 then cast(l_shipdate as date) end as day from lineitem""")
@@ -103,7 +103,7 @@ def _(spark, folder):
     stamp = F.when(n == 1, F.date_format(d, "yyyy-MM-dd'T'09:00:00")).when(n == 2, F.date_format(d, "yyyy-MM-dd")).when(n == 3, "")
     text = (F.when(n <= 2, "5 May 1990").when(n <= 4, F.concat(F.lit("By "), long_day(d), F.lit(" at noon")))
             .when(n == 5, F.concat(F.lit("To be  Confirmed, not "), long_day(d))).when(n == 6, "31 June 1998").otherwise("No closing date"))
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", dates.cell_date(stamp, text).alias("day"))
+    return spread_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", dates.cell_date(stamp, text).alias("day"))
 
 
 @query("c11_api_date", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_linenumber <= 4 then cast(l_shipdate as date) end as day from lineitem""")
@@ -113,7 +113,7 @@ def _(spark, folder):
     text = (F.when(n == 1, F.concat(base, F.lit("T00:00:00.000+0000"))).when(n == 2, F.concat(base, F.lit("T23:59:59.999-11:00")))
             .when(n == 3, F.concat(base, F.lit("T12:00:00.5Z"))).when(n == 4, base)
             .when(n == 5, F.concat(base, F.lit("T25:00:00.000+0000"))).when(n == 6, F.concat(base, F.lit("T00:00:00"))).otherwise("1998-02-30"))
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", dates.api_date(text).alias("day"))
+    return spread_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", dates.api_date(text).alias("day"))
 
 
 # --- money ----------------------------------------------------------------------
