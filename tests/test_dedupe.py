@@ -82,8 +82,10 @@ def _model(rows):
     return dups, owners
 
 
-@pytest.mark.parametrize("tail_after", [0, 1, 50])
-def test_rounds_match_the_ranking_rule(spark, tail_after):
+@pytest.mark.parametrize("tail_after, hot_share", [(0, 1000), (1, 20), (50, 20), (50, 1)])
+def test_rounds_match_the_ranking_rule(spark, monkeypatch, tail_after, hot_share):
+    """Against the model: with all, some and no keys taken as hot, with and without the tail walk."""
+    monkeypatch.setattr(dedupe, "HOT_SHARE", hot_share)
     rng = random.Random(7 + tail_after)
     cases = []
     for case in range(12):
@@ -110,7 +112,3 @@ def test_long_chain_in_bad_order(spark):
     assert got == {i: i % 2 == 0 for i in range(60)}
     with pytest.raises(RuntimeError):
         dedupe.decide(ranked, max_rounds=3, tail_after=100)
-
-
-def test_hot_keys_are_few():
-    assert dedupe.HOT_SHARE <= 1000
