@@ -24,7 +24,7 @@ def documents(spark, folder):
     return spread_table(spark, folder, "documents")
 
 
-@query("c01_squash", f"select doc_id, md5({SQUASHED}) as digest, length({SQUASHED}) as n from documents")
+@query("c01_squash", f"select doc_id, md5({SQUASHED}) as digest, cast(length({SQUASHED}) as integer) as n from documents")
 def _(spark, folder):
     df = documents(spark, folder).withColumn("t", tx.squash(F.col("text")))
     return df.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("n"))

@@ -45,7 +45,7 @@ def _(spark, folder):
 RESULT = T.StructType([T.StructField("identifier", T.StringType()), T.StructField("amount", T.DoubleType()), T.StructField("status", T.StringType())])
 
 
-@query("a05_search_results", """select page_no, total, slot, identifier, amount, status from (select year(o_orderdate) as page_no, 2 as total,
+@query("a05_search_results", """select cast(page_no as integer) as page_no, cast(total as bigint) as total, slot, identifier, amount, status from (select year(o_orderdate) as page_no, 2 as total,
  unnest([0, 1]) as slot, unnest(['A' || cast(o_orderkey as string), 'B' || cast(o_custkey as string)]) as identifier,
  unnest([o_totalprice, cast(null as double)]) as amount, unnest([o_orderstatus, 'X']) as status from orders where o_orderstatus <> 'P')""")
 def _(spark, folder):
