@@ -90,7 +90,7 @@ class Slice:
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[Slice]:
     for batch in batches:
         at = batch.schema.get_field_index(column)
         whole = batch.column(at)
@@ -103,6 +103,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         first = 0
         while first < len(whole):
             last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + size, "right")) - 1)
+            last = min(last, first + rows)
             yield Slice(batch.slice(first, last - first), body[bounds[first]:bounds[last]], bounds[first:last + 1] - bounds[first])
             first = last
 

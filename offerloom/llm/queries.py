@@ -32,3 +32,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     from . import bpe
 
     return bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
+
+
+@query("op4_output_codes")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous", "second")
