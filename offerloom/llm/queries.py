@@ -41,3 +41,14 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous", "second")
+
+
+@query("op2_fertility")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import fertility
+
+    use = fertility.Vocabularies(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *fertility.RATES, "reason")
+    return fertility.verdicts(fertility.measure(table(spark, folder, "documents"), use)).select(*columns)
