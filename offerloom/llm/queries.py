@@ -52,3 +52,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     use = fertility.Vocabularies(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *fertility.RATES, "reason")
     return fertility.verdicts(fertility.measure(table(spark, folder, "documents"), use)).select(*columns)
+
+
+@query("op3_substrings")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.remove_repeated(table(spark, folder, "documents"), 35, digest=True)
