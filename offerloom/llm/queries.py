@@ -59,3 +59,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from . import substrings
 
     return substrings.remove_repeated(table(spark, folder, "documents"), 35, digest=True)
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.link(table(spark, folder, "documents"), 85)
