@@ -66,3 +66,32 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from . import jaccard
 
     return jaccard.link(table(spark, folder, "documents"), 85)
+
+
+_OP7_SQL = """
+with bodies as (select page_id, url, coalesce(html, '') as body from pages),
+     sized as (select page_id, url, cast(octet_length(encode(body)) as bigint) as payload_bytes, sha1(body) as payload_digest from bodies),
+     ranked as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as top from sized)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> top then top end as refers_to,
+       cast(page_id as varchar) as metadata_page, url as request_target
+from ranked
+"""
+
+
+@query("op7_warc_transactions", _OP7_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from ..session import fresh_path
+    from . import warc
+
+    path = fresh_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), path)
+    captures = warc.assemble(warc.read(spark, path, payloads=False).drop("payload"))
+    page = lambda c: F.regexp_extract(c, "<urn:capture:(-?[0-9]+)-", 1).cast("bigint")
+    response, again = F.col("response"), F.col("response.type") == "revisit"
+    return captures.select(
+        page("response.id").alias("page_id"), F.when(again, response["http_length"]).otherwise(response["payload_length"]).alias("payload_bytes"),
+        F.when(again, F.regexp_replace(response["payload_digest"], "^sha1:", "")).otherwise(response["payload_sha1"]).alias("payload_digest"),
+        response["type"].alias("record_type"), F.when(again, page("response.refers_to")).alias("refers_to"),
+        F.regexp_extract("metadata.fields", "pageId: ([0-9-]*)", 1).alias("metadata_page"), F.col("request.target").alias("request_target"))
