@@ -95,3 +95,14 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         F.when(again, F.regexp_replace(response["payload_digest"], "^sha1:", "")).otherwise(response["payload_sha1"]).alias("payload_digest"),
         response["type"].alias("record_type"), F.when(again, page("response.refers_to")).alias("refers_to"),
         F.regexp_extract("metadata.fields", "pageId: ([0-9-]*)", 1).alias("metadata_page"), F.col("request.target").alias("request_target"))
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from . import pii
+
+    found = pii.find(table(spark, folder, "documents"))
+    count = lambda k: F.size(F.filter("spans_found", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    base = F.filter("spans_found", lambda s: s["kind_no"] < len(pii.BASE))
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans_found")).alias("spans"),
+                        F.array_min(F.transform("spans_found", lambda s: s["score"])).alias("least_score"))
