@@ -106,3 +106,43 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("spans_found", lambda s: s["kind_no"] < len(pii.BASE))
     return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans_found")).alias("spans"),
                         F.array_min(F.transform("spans_found", lambda s: s["score"])).alias("least_score"))
+
+
+_OP1_SQL = r"""
+with recursive norm as (
+  select conv_id, turn, text, trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g')) as said from conversations),
+firsts as (select conv_id, said, min(turn) as turn from norm where said <> '' group by all),
+parents as (
+  select n.conv_id, n.turn, n.text, p.turn is not null and p.said <> '' as quotes, pp.turn is not null and pp.said <> '' as deep, f.turn as parent, ff.turn as grand
+  from norm n left join norm p on p.conv_id = n.conv_id and p.turn = n.turn - 1 left join firsts f on f.conv_id = p.conv_id and f.said = p.said
+  left join norm pp on pp.conv_id = n.conv_id and pp.turn = n.turn - 2 left join firsts ff on ff.conv_id = pp.conv_id and ff.said = pp.said),
+held as (select *, coalesce(parent, grand) as up from parents),
+walk as (
+  select conv_id, turn, turn as root, 0 as depth from held where up is null
+  union all
+  select h.conv_id, h.turn, w.root, w.depth + 1 from held h join walk w on w.conv_id = h.conv_id and w.turn = h.up)
+select h.conv_id, h.turn, h.up as parent, w.root, cast(w.depth as bigint) as depth,
+       cast(cast(quotes as int) + cast(deep as int) as bigint) as n_quoted, cast(cast(quotes as int) + cast(deep as int) as bigint) as n_linked,
+       sha256(trim(h.text, E'\n \t\r')) as own_sha256
+from held h join walk w using (conv_id, turn)
+"""
+
+
+def mailbox(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations as mail: each turn quotes the turn before, and that one's quote of the one before it."""
+    turns = table(spark, folder, "conversations")
+    cited = lambda text, mark: F.concat(F.lit(mark), F.regexp_replace(text, "\n", "\n" + mark))
+    last = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("r1"), F.col("text").alias("t1"))
+    older = turns.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("role").alias("r2"), F.col("text").alias("t2"))
+    body = F.concat_ws(
+        "\n", "text", F.when(F.col("t1").isNotNull(), F.concat(F.lit("\nOn the last turn "), F.col("r1"), F.lit(" wrote:\n"), cited(F.col("t1"), "> "))),
+        F.when(F.col("t2").isNotNull(), F.concat(F.lit("> On an older turn "), F.col("r2"), F.lit(" wrote:\n"), cited(F.col("t2"), "> > "))))
+    return turns.join(last, ["conv_id", "turn"], "left").join(older, ["conv_id", "turn"], "left").select("conv_id", "turn", body.alias("text"))
+
+
+@query("op1_quotes", _OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from . import quotes
+
+    return quotes.thread(mailbox(spark, folder)).select(
+        "conv_id", "turn", "parent", "root", "depth", "n_quoted", "n_linked", F.sha2("own_text", 256).alias("own_sha256"))
