@@ -19,9 +19,10 @@ those of all links.
 
 ``link(docs)`` gives one row per input row: the columns named in ``keep``,
 ``n_shingles`` and ``component_id``, the least key reachable.  A null, empty or blank
-text has no set and stands alone.  Rows with the same key count as one node; a null key
-takes part, but gets the component of its class.  Ties need no order, as components do
-not depend on one.
+text has no set and stands alone.  Rows are linked by their texts, so rows with one key
+and different texts may lie in different components; a row without a key takes part and
+gets the least key of its component, if there is one.  Ties need no order, as components
+do not depend on one.  Sets go by 64-bit names, elements by 63-bit hashes.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ BITMAP = 512
 MOST_LIGHT = 16  # the boundary is searched up to here, as subsets soon outnumber postings
 PAIRS_UP_TO = 64
 BLOCK = 256
+FILTER_BITS = 1 << 25
 MOST_FREQUENT = 200_000  # elements that the order puts last; any order gives the same links
 
 _U64 = np.uint64
@@ -129,15 +131,23 @@ def subset_sizes(percent: int, size: int, boundary: int) -> list[int]:
     return sorted({least_overlap(percent, m) for m in range(size, boundary + 1) if least_overlap(percent, m) <= size})
 
 
-def best_boundary(percent: int, counts: dict[int, int], heavy_rest: int) -> int:
+def best_boundary(percent: int, counts: dict[int, int]) -> int:
     """The light size up to which subsets and postings together are fewest; ``counts`` of sets by size up to MOST_LIGHT."""
     def cost(boundary: int) -> int:
         subsets = sum(n * sum(math.comb(s, k) for k in subset_sizes(percent, s, boundary)) for s, n in counts.items() if s <= boundary)
         postings = sum(n * (s - least_overlap(percent, s) + 1) for s, n in counts.items() if s >= least_overlap(percent, boundary + 1))
-        return subsets + postings + heavy_rest
+        return subsets + postings
     return min(range(0, MOST_LIGHT + 1), key=cost)
 
 
+def _classes(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One 64-bit name per set, the same for equal sets; -1 marks an empty one."""
+    total = np.concatenate([np.zeros(1, _U64), np.cumsum(mix(values))])
+    other = np.concatenate([np.zeros(1, _U64), np.cumsum(mix(values + _U64(0x2545F4914F6CDD1D)))])
+    name = mix((total[first[1:]] - total[first[:-1]]) ^ mix(other[first[1:]] - other[first[:-1]]) + np.diff(first).astype(_U64))
+    return np.where(np.diff(first) > 0, (name >> _U64(1)).astype(np.int64), -1)
+
+
 def link(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     order = _Order(frequent(docs, text))
     kept = [f for f in docs.schema.fields if f.name in keep and f.name != key]
@@ -147,31 +157,26 @@ def link(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
         for part in slices(batches, "__text"):
             keys, first = _ordered(part, order)
             sizes, n = np.diff(first), len(part)
-            rows = np.repeat(np.arange(n), sizes)
-            mixed = mix(keys)
-            total = np.concatenate([np.zeros(1, _U64), np.cumsum(mixed)])
-            other = np.concatenate([np.zeros(1, _U64), np.cumsum(mix(keys + _U64(0x2545F4914F6CDD1D)))])
-            odd = np.bincount(rows * BITMAP + (mixed & _U64(BITMAP - 1)).astype(np.int64), minlength=n * BITMAP) & 1
+            bits = (mix(keys) & _U64(BITMAP - 1)).astype(np.int64)
+            odd = np.bincount(np.repeat(np.arange(n), sizes) * BITMAP + bits, minlength=n * BITMAP) & 1
             maps = np.packbits(odd.reshape(n, BITMAP).astype(np.uint8), axis=1)
             heads = [keys[a:a + (s if s <= MOST_LIGHT else s - least_overlap(percent, s) + 1)].tobytes() for a, s in zip(first[:-1].tolist(), sizes.tolist())]
             yield pa.RecordBatch.from_arrays([
-                *part.batch.columns[:-1], pa.array(sizes.astype(np.int64)), pa.array((total[first[1:]] - total[first[:-1]]).view(np.int64)),
-                pa.array((other[first[1:]] - other[first[:-1]]).view(np.int64)), pa.array(heads, pa.binary()), pa.array([m.tobytes() for m in maps], pa.binary())],
-                names=[*part.batch.schema.names[:-1], "n_shingles", "__one", "__two", "head", "bitmap"])
+                *part.batch.columns[:-1], pa.array(sizes.astype(np.int64)), pa.array(_classes(keys, first)),
+                pa.array(heads, pa.binary()), pa.array([m.tobytes() for m in maps], pa.binary())],
+                names=[*part.batch.schema.names[:-1], "n_shingles", "node", "head", "bitmap"])
 
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "__key bigint, n_shingles bigint, __one bigint, __two bigint, head binary, bitmap binary"])
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "__key bigint, n_shingles bigint, node bigint, head binary, bitmap binary"])
     signed = cut_lineage(named.mapInArrow(sign, shape), "signatures")
-    classes = cut_lineage(signed.where("n_shingles > 0").groupBy("__one", "__two", "n_shingles").agg(F.min("__key").alias("node")), "classes")
-    nodes = classes.where("node is not null").select(F.col("node").alias("__key"), "__one", "__two").join(signed, ["__key", "__one", "__two"]).select(
-        F.col("__key").alias("node"), F.col("n_shingles").alias("n"), "head", "bitmap")
-    nodes = cut_lineage(nodes, "nodes")
+    nodes = cut_lineage(signed.where("node >= 0").groupBy("node").agg(
+        F.min("__key").alias("low_key"), F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
     counts = {r[0]: r[1] for r in nodes.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
-    boundary = best_boundary(percent, counts, 0)
+    boundary = best_boundary(percent, counts)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lowest = least_overlap(percent, boundary + 1)
         for batch in batches:
-            keys, node, size = [], [], []
+            keys, node = [], []
             for a, n, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = np.frombuffer(head, _U64)
                 listed = [own[:n - least_overlap(percent, n) + 1]] if n >= lowest else []
@@ -182,19 +187,20 @@ def link(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
                 for x in listed:
                     keys.append(x)
                     node.append(np.full(len(x), a))
-                    size.append(np.full(len(x), n))
             if keys:
-                yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(node), "n": np.concatenate(size)})
-
-    postings = nodes.select("node", "n", "head").mapInArrow(post, "key bigint, node bigint, n bigint")
-    postings = cut_lineage(postings, "postings")
-    lists = postings.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("low")).where("members > 1")
-    members = cut_lineage(postings.join(lists, "key"), "members")
+                yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(node)})
+
+    # Copies of a set repeat its postings; a list counts only when it holds two different sets.
+    postings = signed.where("node >= 0").select("node", "n_shingles", "head").mapInArrow(post, "key bigint, node bigint")
+    lists = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
+    members = cut_lineage(postings.join(lists, "key").distinct(), "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("members"))
+    members = cut_lineage(members.join(sizes, "key").join(nodes.select("node", "n"), "node"), "lists")
     few = members.where(F.col("members") <= PAIRS_UP_TO).select("key", "node", "n")
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"))
     pairs = few.join(other, "key").where("node < b").where(F.greatest("n", "m") * percent <= 100 * F.least("n", "m")).select(F.col("node").alias("a"), "b").distinct()
     maps = nodes.select("node", "n", "bitmap")
-    pairs = (pairs.join(maps.toDF("a", "na", "ma"), "a").join(maps.toDF("b", "nb", "mb"), "b"))
+    pairs = pairs.join(maps.toDF("a", "na", "ma"), "a").join(maps.toDF("b", "nb", "mb"), "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,13 +213,14 @@ def link(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
     tied = pairs.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(near, "a bigint, b bigint")
     stars = members.where(F.col("members") > PAIRS_UP_TO).select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b")
     tree = components(tied.union(stars))
-    clusters = cut_lineage(tree.union(tree.select(F.col("component").alias("node"), "component").distinct()), "clusters")
-    links = _compare(named, clusters, order, percent)
-    found = components(links)
-    node_of = classes.join(found, "node", "left").select("__one", "__two", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    out = signed.drop("head", "bitmap").join(node_of, ["__one", "__two", "n_shingles"], "left")
+    clusters = tree.union(tree.select(F.col("component").alias("node"), "component").distinct()).join(nodes.select("node", "n", "low_key"), "node")
+    links = _compare(named, cut_lineage(clusters, "clusters"), order, percent)
+    found = nodes.select("node", "low_key").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = found.groupBy("component").agg(F.min("low_key").alias("component_id"))
+    named_groups = found.join(least, "component").select("node", "component_id")
+    out = signed.drop("head", "bitmap").join(named_groups, "node", "left")
     return out.select(F.col("__key").cast(docs.schema[key].dataType).alias(key), *[F.col(f.name) for f in kept], "n_shingles",
-                      F.coalesce("component_id", "__key").alias("component_id"))
+                      F.when(F.col("node") >= 0, F.col("component_id")).otherwise(F.col("__key")).cast(docs.schema[key].dataType).alias("component_id"))
 
 
 def _spanning(pairs: np.ndarray, count: int) -> list[tuple[int, int]]:
@@ -260,45 +267,74 @@ def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of one hash over a column ``key``, of FILTER_BITS bits whatever the number of keys."""
+    place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    words64 = keys.select(F.floor(place / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {FILTER_BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    got = words64.toArrow()
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return out.view(_U64)
+
+
 def _compare(named: DataFrame, clusters: DataFrame, order: _Order, percent: int) -> DataFrame:
-    """Links within clusters, as spanning forests of each comparison of two blocks."""
+    """Links within clusters, as spanning forests of each comparison of two blocks.
+
+    A filter of fixed size spares most texts without a cluster their second reading; what
+    slips through it is dropped by the join.
+    """
+    # One block for a small cluster; else blocks by band of size, as a partner's size lies in the same band or the next.
+    small = clusters.groupBy("component").agg((F.count("*") <= BLOCK).alias("small"))
+    banded = clusters.join(small, "component").withColumn("band", F.when(F.col("small"), 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)))
+    blocks = banded.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = banded.join(blocks, ["component", "band"]).select("node", "component", "small", "band", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).alias("block"), "low_key")
+    placed = cut_lineage(placed, "places")
+    bits = _filter(placed.select(F.col("low_key").alias("key")).where("key is not null"))
+
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text"):
-            keys, first = _ordered(part, order)
-            yield pa.RecordBatch.from_arrays([
-                *part.batch.columns[:-1], pa.array(np.diff(first).astype(np.int64)), pa.array([keys[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())],
-                names=["component", "node", "n", "items"])
-
-    wanted = named.select("__key", "__text").join(clusters, F.col("__key") == F.col("node")).select("component", "node", "__text")
-    sets = wanted.mapInArrow(full, "component bigint, node bigint, n bigint, items binary").where("n > 0")
-    # A partner's size lies in the same band or in the next one.
-    sets = cut_lineage(sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)), "sets")
-    sizes = sets.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    sets = sets.join(sizes, ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")))
-    packed = sets.groupBy("component", "band", "block").agg(F.collect_list(F.struct("node", "n", "items")).alias("sets"))  # about BLOCK sets
+        for batch in batches:
+            place = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            hit = (bits[place // 64] >> (place % 64).astype(_U64)) & _U64(1) == 1
+            for part in slices(iter([batch.filter(pa.array(hit))]), "__text"):
+                keys, first = _ordered(part, order)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(_classes(keys, first)), pa.array(np.diff(first).astype(np.int64)), pa.array([keys[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary()),
+                    part.batch.column(1)], names=["node", "n", "items", "low_key"])
+
+    # A text without a key has no place in the filter and goes through.
+    place = F.pmod(F.xxhash64("__key"), F.lit(FILTER_BITS))
+    keyed = named.where("__key is not null").select(place.alias("place"), F.col("__key"), "__text").mapInArrow(full, "node bigint, n bigint, items binary, low_key bigint")
+    if placed.where("low_key is null").isEmpty():
+        sets = keyed
+    else:
+        every = np.full(FILTER_BITS // 64, -1, np.int64).view(_U64)
+        bits = bits | every
+        sets = named.select(F.coalesce(place, F.lit(0)).cast("bigint").alias("place"), F.col("__key"), "__text").mapInArrow(full, "node bigint, n bigint, items binary, low_key bigint")
+    sets = sets.join(placed.withColumnRenamed("low_key", "rep"), "node").where(F.col("low_key").eqNullSafe(F.col("rep")))
+    packed = sets.groupBy("component", "small", "band", "block").agg(F.collect_list(F.struct("node", "n", "items")).alias("sets"))  # about BLOCK sets
     packed = cut_lineage(packed, "blocks")
-    place = packed.select("component", "band", "block")
-    later = place.toDF("component", "band2", "block2")
-    meet = place.join(later, "component").where("(band2 = band and block2 >= block) or band2 = band + 1")
-    both = meet.join(packed, ["component", "band", "block"]).join(packed.toDF("component", "band2", "block2", "sets2"), ["component", "band2", "block2"])
+
+    def links_of(one: list, two: list) -> pa.RecordBatch:
+        lists = [[np.frombuffer(x["items"], _U64) for x in side] for side in (one, two)]
+        common = _overlaps(*lists)
+        total = np.array([x["n"] for x in one])[:, None] + np.array([x["n"] for x in two])[None]
+        names, number = np.unique([x["node"] for x in one] + [x["node"] for x in two], return_inverse=True)
+        hits = np.argwhere(100 * common >= percent * (total - common))
+        hits[:, 1] += len(one)
+        edges = np.array(_spanning(number[hits], len(names)), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_pydict({"a": names[edges[:, 0]], "b": names[edges[:, 1]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one, two = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if len(one) == 1 and len(two) == 1 and one[0]["node"] == two[0]["node"]:
-                    continue
-                lists = [[np.frombuffer(x["items"], _U64) for x in side] for side in (one, two)]
-                common = _overlaps(*lists)
-                total = np.array([x["n"] for x in one])[:, None] + np.array([x["n"] for x in two])[None]
-                ids = [x["node"] for x in one] + [x["node"] for x in two]
-                _, number = np.unique(ids, return_inverse=True)
-                hits = np.argwhere(100 * common >= percent * (total - common))
-                hits[:, 1] += len(one)
-                edges = _spanning(number[hits], len(ids))
-                names = np.unique(ids)
-                if edges:
-                    a, b = zip(*edges)
-                    yield pa.RecordBatch.from_pydict({"a": names[list(a)], "b": names[list(b)]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return both.select("sets", "sets2").mapInArrow(compare, "a bigint, b bigint").where("a <> b")
+                one = batch.column(0)[i].as_py()
+                yield links_of(one, one if batch.num_columns == 1 else batch.column(1)[i].as_py())
+
+    edge = "a bigint, b bigint"
+    inside = packed.where("small").select("sets").mapInArrow(compare, edge)
+    large = packed.where("not small").drop("small")
+    place = large.select("component", "band", "block")
+    meet = place.join(place.toDF("component", "band2", "block2"), "component").where("(band2 = band and block2 >= block) or band2 = band + 1")
+    both = meet.join(large, ["component", "band", "block"]).join(large.toDF("component", "band2", "block2", "sets2"), ["component", "band2", "block2"])
+    across = both.select("sets", "sets2").mapInArrow(compare, edge)
+    return inside.union(across).where("a <> b")
