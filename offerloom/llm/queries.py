@@ -146,3 +146,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
     return quotes.thread(mailbox(spark, folder)).select(
         "conv_id", "turn", "parent", "root", "depth", "n_quoted", "n_linked", F.sha2("own_text", 256).alias("own_sha256"))
+
+
+@query("op6_fuzzy_lines")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from . import fuzzy_lines
+
+    out = fuzzy_lines.dedup_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
