@@ -91,14 +91,14 @@ def thread(messages: DataFrame, scope: str = "conv_id", order: str = "turn", tex
         F.sum("__n").alias("n_quoted"), F.coalesce(F.sum(F.when(F.col("__origin").isNotNull(), F.col("__n"))), F.lit(0)).alias("n_linked"),
         F.max(F.when(F.col("__origin").isNotNull(), best))["o"].alias("parent"))
     told_of = cut_lineage(base.select(scope, order, "own_text").join(linked, [scope, order], "left"), "messages")
-    # Roots and depths by pointers that reach twice as far each round.
-    up = cut_lineage(told_of.select(scope, order, F.coalesce("parent", order).alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth")), "up")
-    while True:
-        above = up.select(scope, F.col(order).alias("root"), F.col("root").alias("__top"), F.col("depth").alias("__more"))
-        moved = up.join(above, [scope, "root"]).select(scope, order, F.col("__top").alias("root"), (F.col("depth") + F.col("__more")).alias("depth"), (F.col("__more") > 0).alias("__moved"))
-        moved = cut_lineage(moved, "up")
-        up = moved.drop("__moved")
-        if moved.where("__moved").isEmpty():
-            break
+    # Roots and depths by pointers that reach twice as far each round; what has reached its root rests.
+    up = told_of.where("parent is null").select(scope, order, F.col(order).alias("root"), F.lit(0).cast("bigint").alias("depth"))
+    open_rows = told_of.where("parent is not null").select(scope, order, F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth"))
+    while not open_rows.isEmpty():
+        known = up.withColumn("__done", F.lit(True)).unionByName(open_rows.withColumn("__done", F.lit(False)))
+        above = known.select(scope, F.col(order).alias("root"), F.col("root").alias("__top"), F.col("depth").alias("__more"), "__done")
+        moved = cut_lineage(open_rows.join(above, [scope, "root"]).select(scope, order, F.col("__top").alias("root"), (F.col("depth") + F.col("__more")).alias("depth"), "__done"), "up")
+        up = up.unionByName(moved.where("__done").drop("__done"))
+        open_rows = moved.where("not __done").drop("__done")
     return told_of.join(up, [scope, order]).select(
         scope, order, "own_text", F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent", "root", "depth")
