@@ -154,3 +154,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
     out = fuzzy_lines.dedup_lines(table(spark, folder, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op10_decontaminate")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
