@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -92,4 +93,21 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.cut_path = path
+    return written
+
+
+def forget(*cuts: DataFrame) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more, and let Spark drop spent shuffle files.
+
+    Shuffle files go when the driver's collector finds that no plan refers to them; on
+    a driver with much memory that may be long after the step that wrote them.
+    """
+    for cut in cuts:
+        context = cut.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(cut.cut_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if cuts:
+        gc.collect()
+        cuts[0].sparkSession.sparkContext._jvm.System.gc()
