@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, forget
 
 
 def _state(edges: DataFrame):
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut_lineage(large.where("a <> b").distinct(), "edges")
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(least)
-        edges = cut_lineage(small.where("a <> b").distinct(), "edges")
+        before, edges = edges, cut_lineage(small.where("a <> b").distinct(), "edges")
+        forget(before, large)
         after = _state(edges)
         if after == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -22,7 +22,8 @@ those of all links.
 text has no set and stands alone.  Rows are linked by their texts, so rows with one key
 and different texts may lie in different components; a row without a key takes part and
 gets the least key of its component, if there is one.  Ties need no order, as components
-do not depend on one.  Sets go by 64-bit names, elements by 63-bit hashes.
+do not depend on one.  Sets go by 64-bit names, elements by 63-bit hashes, of
+which 48 bits tell a cluster's elements apart.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, forget
 from ._components import components
 from ._words import Slice, byte_hashes, gram_hashes, gram_starts, mix, slices, words
 
@@ -190,10 +191,13 @@ def link(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
             if keys:
                 yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(node)})
 
+    heads, signed = signed, cut_lineage(signed.drop("head", "bitmap"), "names")
+
     # Copies of a set repeat its postings; a list counts only when it holds two different sets.
-    postings = signed.where("node >= 0").select("node", "n_shingles", "head").mapInArrow(post, "key bigint, node bigint")
+    postings = heads.where("node >= 0").select("node", "n_shingles", "head").mapInArrow(post, "key bigint, node bigint")
     lists = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
     members = cut_lineage(postings.join(lists, "key").distinct(), "members")
+    forget(heads)
     sizes = members.groupBy("key").agg(F.count("*").alias("members"))
     members = cut_lineage(members.join(sizes, "key").join(nodes.select("node", "n"), "node"), "lists")
     few = members.where(F.col("members") <= PAIRS_UP_TO).select("key", "node", "n")
@@ -213,12 +217,13 @@ def link(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
     tied = pairs.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(near, "a bigint, b bigint")
     stars = members.where(F.col("members") > PAIRS_UP_TO).select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b")
     tree = components(tied.union(stars))
+    forget(members)
     clusters = tree.union(tree.select(F.col("component").alias("node"), "component").distinct()).join(nodes.select("node", "n", "low_key"), "node")
     links = _compare(named, cut_lineage(clusters, "clusters"), order, percent)
     found = nodes.select("node", "low_key").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("low_key").alias("component_id"))
     named_groups = found.join(least, "component").select("node", "component_id")
-    out = signed.drop("head", "bitmap").join(named_groups, "node", "left")
+    out = signed.join(named_groups, "node", "left")
     return out.select(F.col("__key").cast(docs.schema[key].dataType).alias(key), *[F.col(f.name) for f in kept], "n_shingles",
                       F.when(F.col("node") >= 0, F.col("component_id")).otherwise(F.col("__key")).cast(docs.schema[key].dataType).alias("component_id"))
 
@@ -267,6 +272,17 @@ def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _short(keys: np.ndarray) -> bytes:
+    """Elements as six bytes each, which tell a cluster's elements apart."""
+    return mix(keys).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(items: bytes) -> np.ndarray:
+    out = np.zeros((len(items) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(items, np.uint8).reshape(-1, 6)
+    return out.view(_U64).ravel()
+
+
 def _filter(keys: DataFrame) -> np.ndarray:
     """A Bloom filter of one hash over a column ``key``, of FILTER_BITS bits whatever the number of keys."""
     place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
@@ -298,7 +314,7 @@ def _compare(named: DataFrame, clusters: DataFrame, order: _Order, percent: int)
             for part in slices(iter([batch.filter(pa.array(hit))]), "__text"):
                 keys, first = _ordered(part, order)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(_classes(keys, first)), pa.array(np.diff(first).astype(np.int64)), pa.array([keys[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary()),
+                    pa.array(_classes(keys, first)), pa.array(np.diff(first).astype(np.int64)), pa.array([_short(keys[a:b]) for a, b in zip(first[:-1], first[1:])], pa.binary()),
                     part.batch.column(1)], names=["node", "n", "items", "low_key"])
 
     # A text without a key has no place in the filter and goes through.
@@ -315,7 +331,7 @@ def _compare(named: DataFrame, clusters: DataFrame, order: _Order, percent: int)
     packed = cut_lineage(packed, "blocks")
 
     def links_of(one: list, two: list) -> pa.RecordBatch:
-        lists = [[np.frombuffer(x["items"], _U64) for x in side] for side in (one, two)]
+        lists = [[_long(x["items"]) for x in side] for side in (one, two)]
         common = _overlaps(*lists)
         total = np.array([x["n"] for x in one])[:, None] + np.array([x["n"] for x in two])[None]
         names, number = np.unique([x["node"] for x in one] + [x["node"] for x in two], return_inverse=True)
