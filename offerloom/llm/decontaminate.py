@@ -12,7 +12,7 @@ walks and samples give a window several chances.  Windows start at every word of
 and an item is embedded from each of its words that leaves room for the walk, so one
 clean stretch anywhere is enough; ``tests/llm`` measures the recall.  Windows drop out
 of the walk as soon as no item has their sample so far.  A hit is checked by shared
-4-grams, which loses nothing, then by the exact least edit distance between the item
+5-grams, which loses nothing, then by the exact least edit distance between the item
 and any stretch of the item-sized window around it.
 
 Items are taken in blocks of about ``BLOCK_ITEMS`` items and ``BLOCK_BYTES``, and every
@@ -38,7 +38,7 @@ from ._words import Slice, slices
 EDITS = 10
 STEPS, SAMPLED, REPEATS = 32, 12, 4
 LEAST = 32
-GRAM = 4
+GRAM, CELL_BITS = 5, 12
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 SEED = 20
 
@@ -130,7 +130,7 @@ class _Items:
             self.orders.append(order)
             self.allowed.append(tables)
         self.edits = [EDITS * len(t) // 100 for t in self.texts]
-        self.grams = [_grams(np.frombuffer(t, np.uint8)) for t in self.texts]
+        self.tables = [_table(t) for t in self.texts]
         self.marks = [_marks(t) for t in self.texts]
 
     def find(self, part: Slice) -> list[tuple[int, int, int]]:
@@ -157,27 +157,41 @@ class _Items:
         # Hits on one item close to each other are one candidate.
         spot = (place + len(data)) // 16
         _, once = np.unique(np.stack([row, item, spot]), axis=1, return_index=True)
+        once = once[np.argsort(item[once], kind="stable")]
+        cells = _cells(data)
         best: dict[tuple[int, int], int] = {}
-        for i in once.tolist():
-            r, k = int(row[i]), int(item[i])
+        for own in np.split(once, np.flatnonzero(np.diff(item[once])) + 1) if len(once) else ():
+            k = int(item[own[0]])
             size, edits = len(self.texts[k]), self.edits[k]
-            low = max(int(bounds[r]), int(place[i]) - edits - 16)
-            high = min(int(bounds[r + 1]) - 1, int(place[i]) + size + edits + 16)
-            window = data[low:high]
-            # Each edit spoils at most GRAM of the item's grams.
-            if np.isin(self.grams[k], _grams(window)).sum() < len(self.grams[k]) - GRAM * edits:
-                continue
-            found = least_distance(self.marks[k], size, window.tobytes(), edits)
-            if found <= edits:
-                best[r, k] = min(found, best.get((r, k), found))
+            low = np.maximum(bounds[row[own]], place[own] - edits - 16)
+            high = np.minimum(bounds[row[own] + 1] - 1, place[own] + size + edits + 16)
+            # An edit spoils at most GRAM grams of the text's stretch, or leaves out one.
+            least, wide = size - GRAM + 1 - (GRAM + 1) * edits, np.arange(size + 2 * edits + 32)
+            for at in range(0, len(own), 1024):
+                spots, end = low[at:at + 1024, None] + wide, high[at:at + 1024, None]
+                shared = (self.tables[k][cells[np.minimum(spots, len(cells) - 1)]] & (spots < end)).sum(1)
+                for j in (at + np.flatnonzero(shared >= least)).tolist():
+                    found = least_distance(self.marks[k], size, data[low[j]:high[j]].tobytes(), edits)
+                    if found <= edits:
+                        r = int(row[own[j]])
+                        best[r, k] = min(found, best.get((r, k), found))
         return [(r, self.ids[k], d) for (r, k), d in sorted(best.items())]
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    if len(data) < GRAM:
-        return np.zeros(0, np.uint32)
-    wide = data.astype(np.uint32)
-    return wide[:-3] << np.uint32(24) | wide[1:-2] << np.uint32(16) | wide[2:-1] << np.uint32(8) | wide[3:]
+def _cells(data: np.ndarray) -> np.ndarray:
+    """A cell, of CELL_BITS bits, for the GRAM bytes from each place on."""
+    wide = np.concatenate([data, np.zeros(GRAM - 1, np.uint8)]).astype(_U64)
+    code = np.zeros(len(data), _U64)
+    for i in range(GRAM):
+        code = code << _U64(8) | wide[i:i + len(data)]
+    return (code * _U64(0x9E3779B97F4A7C15) >> _U64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _table(item: bytes) -> np.ndarray:
+    """Which cells an item's grams fall into."""
+    table = np.zeros(1 << CELL_BITS, bool)
+    table[_cells(np.frombuffer(item, np.uint8))[:len(item) - GRAM + 1]] = True
+    return table
 
 
 def _marks(item: bytes) -> dict[int, int]:
