@@ -1,21 +1,55 @@
-"""From raw documents to token ids, in stages that are each written and read again."""
+"""From raw documents to token ids, in stages that are each written and read again.
+
+Every stage works on all documents the one before kept.  All but the last return the
+columns of ``documents``; the last returns token ids.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from offerloom.llm import bpe
+from offerloom.llm import bpe, decontaminate, fuzzy_lines, jaccard, langid
 from offerloom.session import configure, fresh_path
 
+LEAST_SCORE = 0.5  # below this the language is not clear enough to keep a document
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found; those without letters or between languages go, and labels become what was found."""
+    model = langid.fit(docs.where(~langid.held_out()))
+    found = langid.predict(docs, model, keep=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without near-equal lines that stand elsewhere; a document of which no word is left goes."""
+    left = fuzzy_lines.dedup_lines(docs)
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    return (left.where(~(blank & (F.col("n_removed") > 0)))
+            .withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group linked by word 5-grams of similarity 0.8 or more."""
+    linked = jaccard.link(docs, percent=80, size=5)
+    kept = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, exactly or with some edits."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left; the decoded bytes are the text again."""
+    """Token ids of every document that is left; decoding gives the text's bytes again."""
     return bpe.encode_documents(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source")).drop("decoded")
 
 
-STAGES = [("byte-level BPE", encode)]
+STAGES = [("language", language), ("lines", lines), ("near copies", near_copies), ("benchmark", benchmark), ("tokens", encode)]
+# The stages learn, hash at random and search by edits: SQL cannot express them; tests hold each against brute force.
 ORACLE_SQL = None
 
 
@@ -23,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = fresh_path(spark, name.replace(" ", "-"))
+        path = fresh_path(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

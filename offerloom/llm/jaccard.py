@@ -1,6 +1,6 @@
 """Jaccard join on word n-grams: a size-aware, heavy-light join, and the groups it links.
 
-A text's set holds its distinct runs of ``SHINGLE`` words (the whole text as one run if
+A text's set holds its distinct runs of ``size`` words (the whole text as one run if
 it is shorter).  Texts with equal sets are one class, joined through one of them.
 
 * Light sets, up to a boundary size, list all their subsets of the sizes that any
@@ -40,7 +40,6 @@ from ..session import cut_lineage, forget
 from ._components import components
 from ._words import Slice, byte_hashes, gram_hashes, gram_starts, mix, slices, words
 
-SHINGLE = 4
 BITMAP = 512
 MOST_LIGHT = 16  # the boundary is searched up to here, as subsets soon outnumber postings
 PAIRS_UP_TO = 64
@@ -63,17 +62,17 @@ def most_different(percent: int, one, two):
     return total - 2 * (-(-percent * total // (100 + percent)))
 
 
-def _sets(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+def _sets(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all rows, by row, and the first of each row."""
     part = part.lowered()
     found = words(part)
     hashes, count = byte_hashes(part, found.starts, found.ends), np.diff(found.first)
-    begins = gram_starts(found.first, SHINGLE)
-    rows, values = [found.rows()[begins]], [gram_hashes(hashes, begins, SHINGLE)]
-    for size in range(1, SHINGLE):
-        short = np.flatnonzero(count == size)
+    begins = gram_starts(found.first, size)
+    rows, values = [found.rows()[begins]], [gram_hashes(hashes, begins, size)]
+    for fewer in range(1, size):
+        short = np.flatnonzero(count == fewer)
         rows.append(short)
-        values.append(mix(gram_hashes(hashes, found.first[short], size) + _U64(size)))
+        values.append(mix(gram_hashes(hashes, found.first[short], fewer) + _U64(fewer)))
     row, value = np.concatenate(rows), np.concatenate(values)
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
@@ -83,7 +82,7 @@ def _sets(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(row, np.arange(len(part) + 1))
 
 
-def frequent(docs: DataFrame, text: str, share: float = 0.002) -> np.ndarray:
+def frequent(docs: DataFrame, text: str, size: int, share: float = 0.002) -> np.ndarray:
     """Hashes of very frequent shingles, the most frequent last.
 
     Each slice of texts reports what occurs in three or more of its texts and in a
@@ -92,7 +91,7 @@ def frequent(docs: DataFrame, text: str, share: float = 0.002) -> np.ndarray:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text", 2 << 20):
-            values, times = np.unique(_sets(part)[0], return_counts=True)
+            values, times = np.unique(_sets(part, size)[0], return_counts=True)
             often = (times >= 3) & (times >= 0.01 * len(part))
             yield pa.RecordBatch.from_pydict({"shingle": values[often].view(np.int64), "times": times[often], "n": np.zeros(often.sum(), np.int64)})
             yield pa.RecordBatch.from_pydict({"shingle": [0], "times": [0], "n": [len(part)]})
@@ -120,8 +119,8 @@ class _Order:
         return keys
 
 
-def _ordered(part: Slice, order: _Order) -> tuple[np.ndarray, np.ndarray]:
-    values, first = _sets(part)
+def _ordered(part: Slice, size: int, order: _Order) -> tuple[np.ndarray, np.ndarray]:
+    values, first = _sets(part, size)
     keys = order.keys(values)
     rows = np.repeat(np.arange(len(part)), np.diff(first))
     return keys[np.lexsort((keys, rows))], first
@@ -149,14 +148,14 @@ def _classes(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(np.diff(first) > 0, (name >> _U64(1)).astype(np.int64), -1)
 
 
-def link(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    order = _Order(frequent(docs, text))
+def link(docs: DataFrame, percent: int = 85, size: int = 4, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    order = _Order(frequent(docs, text, size))
     kept = [f for f in docs.schema.fields if f.name in keep and f.name != key]
     named = docs.select(*[F.col(f.name) for f in kept], F.col(key).cast("bigint").alias("__key"), F.col(text).alias("__text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text"):
-            keys, first = _ordered(part, order)
+            keys, first = _ordered(part, size, order)
             sizes, n = np.diff(first), len(part)
             bits = (mix(keys) & _U64(BITMAP - 1)).astype(np.int64)
             odd = np.bincount(np.repeat(np.arange(n), sizes) * BITMAP + bits, minlength=n * BITMAP) & 1
@@ -219,7 +218,7 @@ def link(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "t
     tree = components(tied.union(stars))
     forget(members)
     clusters = tree.union(tree.select(F.col("component").alias("node"), "component").distinct()).join(nodes.select("node", "n", "low_key"), "node")
-    links = _compare(named, cut_lineage(clusters, "clusters"), order, percent)
+    links = _compare(named, cut_lineage(clusters, "clusters"), order, percent, size)
     found = nodes.select("node", "low_key").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("low_key").alias("component_id"))
     named_groups = found.join(least, "component").select("node", "component_id")
@@ -293,7 +292,7 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return out.view(_U64)
 
 
-def _compare(named: DataFrame, clusters: DataFrame, order: _Order, percent: int) -> DataFrame:
+def _compare(named: DataFrame, clusters: DataFrame, order: _Order, percent: int, size: int) -> DataFrame:
     """Links within clusters, as spanning forests of each comparison of two blocks.
 
     A filter of fixed size spares most texts without a cluster their second reading; what
@@ -312,7 +311,7 @@ def _compare(named: DataFrame, clusters: DataFrame, order: _Order, percent: int)
             place = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = (bits[place // 64] >> (place % 64).astype(_U64)) & _U64(1) == 1
             for part in slices(iter([batch.filter(pa.array(hit))]), "__text"):
-                keys, first = _ordered(part, order)
+                keys, first = _ordered(part, size, order)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(_classes(keys, first)), pa.array(np.diff(first).astype(np.int64)), pa.array([_short(keys[a:b]) for a, b in zip(first[:-1], first[1:])], pa.binary()),
                     part.batch.column(1)], names=["node", "n", "items", "low_key"])

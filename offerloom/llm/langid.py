@@ -10,7 +10,7 @@ mean and variance).  A small gap to the second codeword is flagged as ambiguous.
 
 ``fit(docs)`` learns from rows with a label and a text; a text without n-grams is
 ignored.  ``predict(docs, model)`` gives one row per input row: the columns named in
-``keep``, ``lang_pred``, ``score`` (0 to 1), ``ambiguous``, ``second``.  A text that is
+``keep`` (but for clashing ones), ``lang_pred``, ``score`` (0 to 1), ``ambiguous``, ``second``.  A text that is
 null, empty or has no letter is ``und`` with score 0; so is every text if nothing was
 learned.  Ties go to the language first in byte order.  Repeated rows stay repeated;
 columns that are not named are not read.
@@ -163,7 +163,8 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", max_languages:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    kept = [f for f in docs.schema.fields if f.name in keep]
+    added = ("lang_pred", "score", "ambiguous", "second")
+    kept = [f for f in docs.schema.fields if f.name in keep and f.name not in added]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double", "ambiguous boolean", "second string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
