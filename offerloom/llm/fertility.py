@@ -35,6 +35,7 @@ LEAST_WIDTH = {"chars_per_token": 0.5, "chars_per_piece": 0.5, "fallback_share":
 EVENNESS = 0.75  # a short text has little entropy: it counts as low only under this share of the most its tokens could have
 LEAST_ROWS = 100
 ACCURACY = 1000
+WAYS = 64
 CACHE = 300_000  # words remembered by a task (memory bound, not a limit on input)
 
 # Marks counted as symbols; lead bytes of UTF-8 by script.
@@ -177,7 +178,9 @@ def verdicts(measured: DataFrame, language: str = "lang") -> DataFrame:
     every = good.agg(*quartiles)
     # One row for all texts; as scalars they cost no join.
     spare = {c: every.select(f"__{c}").scalar() for c in RATES}
-    out = rated.join(own, "__group", "left")
+    # One language may hold most texts: its texts are dealt over WAYS copies of its band.
+    ways = F.explode(F.array(*[F.lit(i) for i in range(WAYS)]))
+    out = rated.withColumn("__way", F.pmod(F.monotonically_increasing_id(), F.lit(WAYS)).cast("int")).join(own.withColumn("__way", ways), ["__group", "__way"], "left")
     reasons = []
     for c in RATES:
         band = F.coalesce(F.col(f"__{c}"), spare[c])
@@ -189,4 +192,4 @@ def verdicts(measured: DataFrame, language: str = "lang") -> DataFrame:
         reasons.append(F.when(F.col(c) < floor, f"{c} low").when(F.col(c) > high + width, f"{c} high"))
     reason = F.when(F.col("base_failed"), "base").otherwise(F.coalesce(*reasons))
     return (out.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
-            .drop("__group", *[f"__{c}" for c in RATES]))
+            .drop("__group", "__way", *[f"__{c}" for c in RATES]))
