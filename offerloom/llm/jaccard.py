@@ -10,8 +10,8 @@ it is shorter).  Texts with equal sets are one class, joined through one of them
 
 The boundary is the size at which all subsets plus all postings are fewest.  Lists of
 up to ``PAIRS_UP_TO`` sets give pairs, checked by size and by a parity bitmap whose
-distance never exceeds the sets' difference; longer ones only tie their members
-together.  What is tied together forms clusters; a cluster's sets, in blocks of about
+distance never exceeds the sets' difference; longer ones are checked pack against pack
+and give spanning forests of what passes.  What is tied together forms clusters; a cluster's sets, in blocks of about
 ``BLOCK`` and bands of like size, are compared block against block with exact
 intersections, and each comparison returns a spanning forest of its links.  So no task
 holds a whole cluster, no pair table is made within a long list, and the components are
@@ -38,9 +38,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage, forget
 from ._components import components
+from ._packs import column, edges, forest, pack_edges
 from ._words import Slice, byte_hashes, gram_hashes, gram_starts, mix, slices, words
 
-BITMAP = 512
+BITMAP, FINE, LARGE = 512, 4096, 1000
 MOST_LIGHT = 16  # the boundary is searched up to here, as subsets soon outnumber postings
 PAIRS_UP_TO = 64
 BLOCK = 256
@@ -82,24 +83,21 @@ def _sets(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(row, np.arange(len(part) + 1))
 
 
-def frequent(docs: DataFrame, text: str, size: int, share: float = 0.002) -> np.ndarray:
+def frequent(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """Hashes of very frequent shingles, the most frequent last.
 
-    Each slice of texts reports what occurs in three or more of its texts and in a
-    hundredth of them; Spark adds the reports.  At most ``MOST_FREQUENT`` come back.
+    Each slice of texts reports what occurs in two or more of its texts; Spark adds the
+    reports, and those of 32 or more count.  At most ``MOST_FREQUENT`` come back.
     They only shape the order of elements, on which the result does not depend.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text", 2 << 20):
             values, times = np.unique(_sets(part, size)[0], return_counts=True)
-            often = (times >= 3) & (times >= 0.01 * len(part))
-            yield pa.RecordBatch.from_pydict({"shingle": values[often].view(np.int64), "times": times[often], "n": np.zeros(often.sum(), np.int64)})
-            yield pa.RecordBatch.from_pydict({"shingle": [0], "times": [0], "n": [len(part)]})
-
-    seen = docs.select(F.col(text).alias("__text")).mapInArrow(count, "shingle bigint, times bigint, n bigint").groupBy("shingle").agg(F.sum("times").alias("times"), F.sum("n").alias("n"))
-    seen = cut_lineage(seen, "frequent")
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    top = seen.where(F.col("times") >= max(32, share * total)).orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).select("shingle").collect()
+            often = times >= 2
+            yield pa.RecordBatch.from_pydict({"shingle": values[often].view(np.int64), "times": times[often]})
+
+    seen = docs.select(F.col(text).alias("__text")).mapInArrow(count, "shingle bigint, times bigint").groupBy("shingle").agg(F.sum("times").alias("times"))
+    top = seen.where(F.col("times") >= 32).orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).select("shingle").collect()
     return np.array([r[0] for r in top], np.int64)[::-1].view(_U64)
 
 
@@ -126,6 +124,52 @@ def _ordered(part: Slice, size: int, order: _Order) -> tuple[np.ndarray, np.ndar
     return keys[np.lexsort((keys, rows))], first
 
 
+def _bitmaps(keys: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A bit per cell, set when an odd number of elements falls into it; large sets have FINE cells."""
+    row, cell = np.repeat(np.arange(len(sizes)), sizes), (mix(keys) & _U64(FINE - 1)).astype(np.int64)
+    out: list[bytes] = [b""] * len(sizes)
+    for large, cells in ((False, BITMAP), (True, FINE)):
+        own = np.flatnonzero((sizes >= LARGE) == large)
+        place = np.full(len(sizes), -1)
+        place[own] = np.arange(len(own))
+        taken = place[row] >= 0
+        odd = np.bincount(place[row[taken]] * cells + cell[taken] % cells, minlength=len(own) * cells) & 1
+        for i, m in zip(own.tolist(), np.packbits(odd.reshape(len(own), cells).astype(np.uint8), axis=1)):
+            out[i] = m.tobytes()
+    return out
+
+
+class _Maps:
+    """Bitmaps of several sets; fine ones also folded to the cells of the coarse ones."""
+
+    def __init__(self, maps: list[bytes], sizes: np.ndarray):
+        self.sizes, self.large = sizes, sizes >= LARGE
+        self.coarse, self.fine = np.zeros((len(maps), BITMAP // 64), _U64), np.zeros((len(maps), FINE // 64), _U64)
+        for i, m in enumerate(maps):
+            whole = np.frombuffer(m, _U64)
+            if self.large[i]:
+                self.fine[i] = whole
+            self.coarse[i] = np.bitwise_xor.reduce(whole.reshape(-1, BITMAP // 64), axis=0)
+
+    def __getitem__(self, at):
+        out = object.__new__(_Maps)
+        out.sizes, out.large, out.coarse, out.fine = self.sizes[at], self.large[at], self.coarse[at], self.fine[at]
+        return out
+
+
+def _may_link(percent: int, one: _Maps, two: _Maps) -> np.ndarray:
+    """Which sets, of like shape, are close enough in size and bitmap; never misses a link."""
+    a, b = one.sizes, two.sizes
+    most = most_different(percent, a, b)
+    fits = (percent * np.maximum(a, b) <= 100 * np.minimum(a, b)) & (np.bitwise_count(one.coarse ^ two.coarse).sum(-1, dtype=np.int64) <= most)
+    both = np.argwhere(fits & one.large & two.large)
+    for at in range(0, len(both), 16384):
+        where = tuple(both[at:at + 16384].T)
+        left, right = (np.broadcast_to(x.fine, (*fits.shape, FINE // 64))[where] for x in (one, two))
+        fits[where] = np.bitwise_count(left ^ right).sum(-1, dtype=np.int64) <= np.broadcast_to(most, fits.shape)[where]
+    return fits
+
+
 def subset_sizes(percent: int, size: int, boundary: int) -> list[int]:
     """Sizes of the subsets that a light set lists, one for each size its larger partner may have."""
     return sorted({least_overlap(percent, m) for m in range(size, boundary + 1) if least_overlap(percent, m) <= size})
@@ -157,13 +201,11 @@ def link(docs: DataFrame, percent: int = 85, size: int = 4, key: str = "doc_id",
         for part in slices(batches, "__text"):
             keys, first = _ordered(part, size, order)
             sizes, n = np.diff(first), len(part)
-            bits = (mix(keys) & _U64(BITMAP - 1)).astype(np.int64)
-            odd = np.bincount(np.repeat(np.arange(n), sizes) * BITMAP + bits, minlength=n * BITMAP) & 1
-            maps = np.packbits(odd.reshape(n, BITMAP).astype(np.uint8), axis=1)
+            maps = _bitmaps(keys, sizes)
             heads = [keys[a:a + (s if s <= MOST_LIGHT else s - least_overlap(percent, s) + 1)].tobytes() for a, s in zip(first[:-1].tolist(), sizes.tolist())]
             yield pa.RecordBatch.from_arrays([
                 *part.batch.columns[:-1], pa.array(sizes.astype(np.int64)), pa.array(_classes(keys, first)),
-                pa.array(heads, pa.binary()), pa.array([m.tobytes() for m in maps], pa.binary())],
+                pa.array(heads, pa.binary()), pa.array(maps, pa.binary())],
                 names=[*part.batch.schema.names[:-1], "n_shingles", "node", "head", "bitmap"])
 
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "__key bigint, n_shingles bigint, node bigint, head binary, bitmap binary"])
@@ -194,7 +236,7 @@ def link(docs: DataFrame, percent: int = 85, size: int = 4, key: str = "doc_id",
 
     # Copies of a set repeat its postings; a list counts only when it holds two different sets.
     postings = heads.where("node >= 0").select("node", "n_shingles", "head").mapInArrow(post, "key bigint, node bigint")
-    lists = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
+    lists = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     members = cut_lineage(postings.join(lists, "key").distinct(), "members")
     forget(heads)
     sizes = members.groupBy("key").agg(F.count("*").alias("members"))
@@ -207,15 +249,23 @@ def link(docs: DataFrame, percent: int = 85, size: int = 4, key: str = "doc_id",
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BITMAP // 8) for i in (4, 5))
-                apart = np.bitwise_count(one ^ two).sum(1, dtype=np.int64)
-                fits = apart <= most_different(percent, batch.column(2).to_numpy(), batch.column(3).to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fits)), batch.column(1).filter(pa.array(fits))], names=["a", "b"])
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                one, two = (_Maps(part.column(k + 2).to_pylist(), part.column(k).to_numpy()) for k in (2, 3))
+                fits = pa.array(_may_link(percent, one, two))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(fits), part.column(1).filter(fits)], names=["a", "b"])
+
+    def near_packs(one, two) -> pa.RecordBatch:
+        packs = [p for p in (one, two) if p is not None]
+        names = np.concatenate([column(p, "name") for p in packs])
+        maps = [_Maps(p.values.field("bitmap").to_pylist(), column(p, "n")) for p in packs]
+        hits = np.argwhere(_may_link(percent, maps[0][np.arange(len(maps[0].sizes))[:, None]], maps[-1][np.arange(len(maps[-1].sizes))[None]]))
+        hits = hits[hits[:, 0] < hits[:, 1]] if two is None else hits + [0, len(maps[0].sizes)]
+        return edges(forest(hits.tolist(), len(names)), names)
 
     tied = pairs.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(near, "a bigint, b bigint")
-    stars = members.where(F.col("members") > PAIRS_UP_TO).select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b")
-    tree = components(tied.union(stars))
+    many = members.where(F.col("members") > PAIRS_UP_TO).select("key", "node").join(maps, "node").select("key", F.col("node").alias("name"), "n", "bitmap")
+    tied = tied.union(pack_edges(many, ["key"], ["n", "bitmap"], near_packs))
+    tree = components(tied)
     forget(members)
     clusters = tree.union(tree.select(F.col("component").alias("node"), "component").distinct()).join(nodes.select("node", "n", "low_key"), "node")
     links = _compare(named, cut_lineage(clusters, "clusters"), order, percent, size)
@@ -227,27 +277,6 @@ def link(docs: DataFrame, percent: int = 85, size: int = 4, key: str = "doc_id",
                       F.when(F.col("node") >= 0, F.col("component_id")).otherwise(F.col("__key")).cast(docs.schema[key].dataType).alias("component_id"))
 
 
-def _spanning(pairs: np.ndarray, count: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the given pairs."""
-    root = list(range(count))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for a, b in pairs.tolist():
-        x, y = top(a), top(b)
-        if x != y:
-            root[y] = x
-            out.append((a, b))
-            if len(out) == count - 1:
-                break
-    return out
-
-
 def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections between two lists of sets."""
     out = np.zeros((len(one), len(two)), np.float32)
@@ -336,8 +365,7 @@ def _compare(named: DataFrame, clusters: DataFrame, order: _Order, percent: int,
         names, number = np.unique([x["node"] for x in one] + [x["node"] for x in two], return_inverse=True)
         hits = np.argwhere(100 * common >= percent * (total - common))
         hits[:, 1] += len(one)
-        edges = np.array(_spanning(number[hits], len(names)), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_pydict({"a": names[edges[:, 0]], "b": names[edges[:, 1]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        return edges(forest(number[hits].tolist(), len(names)), names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
