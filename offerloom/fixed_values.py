@@ -152,12 +152,12 @@ CLASS_TEXT_FIELDS = (
 )
 
 # --- Fixed values: money, dates, links ---------------------------------------
-MONEY_PATTERN = r"(?i)(?:£|GBP\s*)([\d,]+(?:\.\d+)?)\s*(million|m|k)?"
-POUND_PATTERN = r"(?i)£\s*([\d,]+(?:\.\d+)?)\s*(million|m|thousand|k)?\b"
+MONEY_PATTERN = r"(?iU)(?:£|GBP\s*)([\d,]+(?:\.\d+)?)\s*(million|m|k)?"
+POUND_PATTERN = r"(?iU)£\s*([\d,]+(?:\.\d+)?)\s*(million|m|thousand|k)?\b"
 MONEY_SCALE = {"million": 1_000_000.0, "m": 1_000_000.0, "thousand": 1_000.0, "k": 1_000.0}
 NOT_A_MINIMUM_PATTERN = r"(?i)\b(up to|maximum|share of)\b"
 ORDINAL_PATTERN = r"(?i)(\d+)(st|nd|rd|th)"
-FREE_TEXT_URL_PATTERN = r"https?://[^\s)]+"
+FREE_TEXT_URL_PATTERN = r"(?U)https?://[^\s)]+"
 COMPETITION_PATTERN = r"/competition/([^/]+)/"
 EU_REFERENCE_PATTERN = r"\bHORIZON-[A-Za-z0-9-]+(?:-[A-Za-z0-9]+)*\b"
 NO_DATE_WORDS = ("to be confirmed", "no closing date")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
 from .money import whole
-from .text import squash, text_or_empty
+from .text import squash, strip, text_or_empty
 
 
 def closing_soon(status: Column, closes: Column, as_of: Column) -> Column:
@@ -17,7 +17,7 @@ def closing_soon(status: Column, closes: Column, as_of: Column) -> Column:
 def tag_list(sector_tags: Column, niche_tags: Column) -> Column:
     """Both comma lists as one array of trimmed tags."""
     def parts(column):
-        filled = F.when(text_or_empty(column) != "", F.transform(F.split(column, ","), lambda t: F.trim(t)))
+        filled = F.when(text_or_empty(column) != "", F.transform(F.split(column, ","), lambda t: strip(t)))
         return F.coalesce(filled, F.array().cast("array<string>"))
 
     return F.concat(parts(sector_tags), parts(niche_tags))
@@ -25,15 +25,15 @@ def tag_list(sector_tags: Column, niche_tags: Column) -> Column:
 
 def clean_tags(tags: Column, label: Column) -> Column:
     """Codes and source names out, one prefix stripped, first few distinct tags."""
-    own = F.lower(F.trim(text_or_empty(label)))
+    own = F.lower(strip(text_or_empty(label)))
 
     def named(tag):
         low = F.lower(tag)
         return (low == own) | (low == fv.TAG_ALWAYS_DROPPED)
 
-    trimmed = F.transform(tags, lambda t: F.trim(text_or_empty(t)))
+    trimmed = F.transform(tags, lambda t: strip(text_or_empty(t)))
     wanted = F.filter(trimmed, lambda t: (t != "") & ~t.rlike(fv.TAG_CODE_PATTERN) & ~named(t))
-    bare = F.transform(wanted, lambda t: F.trim(F.regexp_replace(t, fv.TAG_PREFIX_PATTERN, "")))
+    bare = F.transform(wanted, lambda t: strip(F.regexp_replace(t, fv.TAG_PREFIX_PATTERN, "")))
     return F.slice(F.array_distinct(F.filter(bare, lambda t: (t != "") & ~named(t))), 1, fv.TAG_LIMIT)
 
 

@@ -27,6 +27,11 @@ def none_if_empty(column: Column) -> Column:
     return F.nullif(column, F.lit(""))
 
 
+def strip(column: Column) -> Column:
+    """Without white space at either end, Unicode included."""
+    return F.regexp_replace(column, f"^{BLANKS}|{BLANKS}$", "")
+
+
 def squash(column: Column) -> Column:
     """Collapse every run of white space, Unicode included, to one blank."""
     return F.trim(F.regexp_replace(text_or_empty(column), BLANKS, " "))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
-from .text import none_if_empty, once, text_or_empty
+from .text import none_if_empty, once, strip, text_or_empty
 
 _WITH_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)([^?#]*)"
 _ORIGIN = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*"
@@ -43,7 +43,7 @@ def slug_of_path(path: Column) -> Column:
 
 
 def link_key(column: Column) -> Column:
-    return once(parts_of(F.trim(column)), key_of_parts)
+    return once(parts_of(strip(column)), key_of_parts)
 
 
 def competition_of(column: Column) -> Column:
@@ -70,7 +70,7 @@ def id_from_link(column: Column, prefix: str) -> Column:
 
 
 def competition_number(record_id: Column) -> Column:
-    return none_if_empty(F.regexp_extract(F.trim(text_or_empty(record_id)), r"^ifs:(\d+)$", 1))
+    return none_if_empty(F.regexp_extract(strip(text_or_empty(record_id)), r"^ifs:(\d+)$", 1))
 
 
 def competition_link(record_id: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F, types as T
 
 from . import fixed_values as fv
+from .functions.text import strip
 
 CATALOGUE = T.StructType([
     T.StructField("id", T.StringType()),
@@ -64,7 +65,7 @@ class SourceBook:
     core: tuple[str, ...]
 
     def key_of(self, column: Column) -> Column:
-        name = F.trim(F.coalesce(column, F.lit("")))
+        name = strip(F.coalesce(column, F.lit("")))
         return lookup(name, self.keys, name)
 
     def label_of(self, column: Column) -> Column:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
-from ..functions.text import has_phrase, has_words, none_if_empty, once, padded_key, phrase_key, text_or_empty
+from ..functions.text import has_phrase, has_words, none_if_empty, once, padded_key, phrase_key, strip, text_or_empty
 
 
 def class_text(df: DataFrame, fields=fv.CLASS_TEXT_FIELDS) -> Column:
@@ -60,7 +60,7 @@ def place_by_phrase(keyed: Column, phrases=fv.PLACE_PHRASES) -> Column:
 
 
 def place_from_key(keyed: Column, source: Column, phrases=fv.PLACE_PHRASES) -> Column:
-    fixed = F.lower(F.trim(text_or_empty(source))).isin(*fv.EU_SOURCES)
+    fixed = F.lower(strip(text_or_empty(source))).isin(*fv.EU_SOURCES)
     by_phrase = place_by_phrase(keyed, phrases)
     return F.when(fixed, F.lit(fv.UK_WIDE)).when(F.trim(keyed) == "", F.lit(fv.UNKNOWN_PLACE)).otherwise(
         F.coalesce(stated_place(keyed), by_phrase))
@@ -102,7 +102,7 @@ def stated_applicants(keyed: Column) -> Column:
 
 
 def applicants_from_key(keyed: Column, source: Column) -> Column:
-    low = F.lower(F.trim(text_or_empty(source)))
+    low = F.lower(strip(text_or_empty(source)))
     academic = dict(fv.APPLICANT_WORDS)["academic"]
     joint = has_words(keyed, academic) & has_words(keyed, fv.APPLICANT_GATE_WORDS) & needs_academic_partner(keyed)
     return (
@@ -130,14 +130,21 @@ def classify(df: DataFrame, fields=fv.CLASS_TEXT_FIELDS, keep_given: bool = Fals
 
 
 def reclassify(base: DataFrame, fields=fv.CLASS_TEXT_FIELDS) -> DataFrame:
-    """Classify stored rows again; ``_changed`` marks the rows whose classes differ."""
+    """Classify stored rows again.
+
+    ``_place_changed`` and ``_who_changed`` mark the rows whose class of that kind
+    differs, ``_changed`` those with either.
+    """
     before = base.withColumns({"_old_place": F.col("geographic_scope"), "_old_who": F.col("eligible_applicants")})
     after = classify(before, fields)
-    same = F.col("_old_place").eqNullSafe(F.col("geographic_scope")) & F.col("_old_who").eqNullSafe(F.col("eligible_applicants"))
-    return after.withColumn("_changed", ~same).drop("_old_place", "_old_who")
+    marked = after.withColumns({
+        "_place_changed": ~F.col("_old_place").eqNullSafe(F.col("geographic_scope")),
+        "_who_changed": ~F.col("_old_who").eqNullSafe(F.col("eligible_applicants"))})
+    return marked.withColumn("_changed", F.col("_place_changed") | F.col("_who_changed")).drop("_old_place", "_old_who")
 
 
 def reclassify_report(result: DataFrame, column: str = "geographic_scope") -> DataFrame:
-    """Rows and changed rows per class."""
+    """Rows per class, and those that changed in this kind of class."""
+    flag = {"geographic_scope": "_place_changed", "eligible_applicants": "_who_changed"}.get(column, "_changed")
     return result.groupBy(column).agg(
-        F.count("*").alias("rows_seen"), F.count_if(F.col("_changed")).alias("rows_changed"))
+        F.count("*").alias("rows_seen"), F.count_if(F.col(flag)).alias("rows_changed"))

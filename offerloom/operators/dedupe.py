@@ -17,7 +17,6 @@ are parallel on average", SPAA 2012):
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
@@ -28,7 +27,6 @@ from ..model import DEFAULT_BOOK, SourceBook
 from ..session import cut_lineage
 
 HOT_SHARE = 1000
-TAIL_EDGES = 200_000
 
 
 def canonical_keys(url: Column, description: Column, title: Column, closes: Column,
@@ -78,14 +76,13 @@ def ranked_keys(base: DataFrame, as_of, book: SourceBook = DEFAULT_BOOK, **key_o
     return cut_lineage(ordered, "ranked")
 
 
-def decide(ranked: DataFrame, max_rounds: int = 200, tail_after: int = 12) -> DataFrame:
+def decide(ranked: DataFrame) -> DataFrame:
     """(id, rank, kept, owns_copy) for every (id, rank, keys) row of a written table.
 
     ``owns_copy`` marks a kept row that holds a key of a duplicate further down.
-    Rounds are few for any usual order but grow with the length of a chain of rows
-    in bad order.  So after ``tail_after`` rounds a rest of at most ``TAIL_EDGES``
-    edges, a checked bound, is walked through in one task; a larger rest goes on in
-    rounds, and the cap raises instead of returning a part.
+    Rounds go on until nothing is undecided.  They are few for any usual order but grow
+    with the length of a chain of rows in bad order; each one decides at least the
+    lowest undecided row of every connected group, so they end.
     """
     # Rows with one and the same key set share their fate after the first of them:
     # whichever row shuts that one out shuts them all out, else it does so itself.
@@ -105,16 +102,7 @@ def decide(ranked: DataFrame, max_rounds: int = 200, tail_after: int = 12) -> Da
     live = cut_lineage(_split(edges, shared, hot), "edges")
 
     held_parts, lost_parts = [], []
-    rounds = 0
     while not live.isEmpty():
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"dedupe undecided after {max_rounds} rounds")
-        if rounds > tail_after and live.limit(TAIL_EDGES + 1).count() <= TAIL_EDGES:
-            settled = cut_lineage(_walk_tail(live), "tail")
-            held_parts.append(settled.where("kept").select("key", F.col("rank").alias("owner")))
-            lost_parts.append(settled.where(~F.col("kept")).select("rank").distinct())
-            break
         lowest = live.groupBy("hot", "key").agg(F.min("rank").alias("low"))
         first = _with_key_value(live, lowest, "low").groupBy("rank").agg(
             F.bool_and(F.col("rank") == F.col("low")).alias("first"))
@@ -149,22 +137,6 @@ def decide(ranked: DataFrame, max_rounds: int = 200, tail_after: int = 12) -> Da
                 F.coalesce("owns_copy", F.lit(False)).alias("owns_copy")))
 
 
-def _walk_tail(live: DataFrame) -> DataFrame:
-    """The ranking rule itself, over a rest whose size the caller has checked."""
-    def walk(edges: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        verdicts = []
-        for rank, keys in edges.sort_values("rank").groupby("rank", sort=True)["key"]:
-            kept = taken.isdisjoint(keys)
-            if kept:
-                taken.update(keys)
-            verdicts.append((rank, kept))
-        return edges.merge(pd.DataFrame(verdicts, columns=["rank", "kept"]), on="rank")[["key", "rank", "kept"]]
-
-    rest = live.select("key", "rank", F.lit(0).alias("part"))
-    return rest.groupBy("part").applyInPandas(walk, "key string, rank bigint, kept boolean")
-
-
 def _stack(spark, parts: list[DataFrame], schema: str) -> DataFrame:
     whole = spark.createDataFrame([], schema)
     for part in parts:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.urls import competition_link
-from ..functions.text import text_or_empty
+from ..functions.text import strip, text_or_empty
 from .extract import competition_details, fact_value
-from .normalise import facts_from_tags
+from .normalise import facts_from_tags, sole_funder
 from .merge import first_per_key
 
 NEW_ROW_HOURS = 24
 DETAIL_COLUMNS = ("description", "funding_min", "funding_max")
 
 
+def _newest(pages: DataFrame) -> list:
+    return [F.col("fetched_at").desc()] if "fetched_at" in pages.columns else []
+
+
 def join_detail(items: DataFrame, detail: DataFrame, key: str, strict: bool = False) -> DataFrame:
     """Left join; ``strict`` makes a missing detail page an error, not a null."""
     names = [c for c in detail.columns if c != key]
@@ -40,7 +44,7 @@ def in_enrichment_order(rows: DataFrame) -> DataFrame:
 
 def apply_detail(joined: DataFrame, as_of) -> DataFrame:
     """Take over the detail text and each bound found in it; needs ``detail_`` columns."""
-    text = F.trim(text_or_empty(F.col("detail_description")))
+    text = strip(text_or_empty(F.col("detail_description")))
     day = F.lit(as_of).cast("date")
     low, high = F.col("detail_funding_min"), F.col("detail_funding_max")
     use = text != ""
@@ -71,8 +75,7 @@ def enrich_from_pages(base: DataFrame, pages: DataFrame, as_of, sources=("innova
     """
     due = unenriched(base, sources, now).select("id", (competition_link(F.col("id")) if link is None else link).alias("url"))
     wanted = pages.join(due.where(F.col("url").isNotNull()).select("url").distinct(), "url", "left_semi")
-    newest = [F.col("fetched_at").desc()] if "fetched_at" in pages.columns else []
-    wanted = first_per_key(wanted, ["url"], [*newest, "html"])
+    wanted = first_per_key(wanted, ["url"], [*_newest(pages), F.xxhash64("html")])
     details = competition_details(wanted.select("url", "html"))
     asked = join_detail(due.withColumn("_due", F.lit(True)), details, "url").select(
         "id", F.col("url").alias("_url"), "_due", "_found", *[f"detail_{c}" for c in DETAIL_COLUMNS])
@@ -88,18 +91,29 @@ def outcome_counts(result: DataFrame) -> DataFrame:
     return result.where(F.col("_outcome").isNotNull()).groupBy("_outcome").agg(F.count("*").alias("n"))
 
 
+def council_listed(cards: DataFrame) -> DataFrame:
+    """Cards whose listing does not name the sole funder; a source job takes these before it joins pages."""
+    return cards.where(~sole_funder(F.coalesce(fact_value(F.col("facts"), "funders"), F.lit(""))))
+
+
 def council_with_detail(cards: DataFrame, details: DataFrame) -> DataFrame:
     """Cards completed by their detail pages; a card without one stays as listed.
 
     The listing summary, not its composed description, stands in for missing text,
     so headers are not repeated.
     """
-    other = details.select("source_url", F.lit(True).alias("_found"), *[
+    details = first_per_key(details, ["source_url"], [*_newest(details), "title", "description"])
+    other = details.select("source_url", F.lit(True).alias("_page"), *[
         F.col(c).alias(f"_d_{c}") for c in ("title", "facts", "opened_date", "closes_date", "description", "application_url")])
     filled = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
     stored = facts_from_tags(fact_value(F.col("facts"), "funders"), F.concat_ws(
         ", ", fact_value(F.col("facts"), "funding type"), fact_value(F.col("facts"), "opportunity status")))
-    return cards.join(other, "source_url", "left").select(
+    joined = cards.join(other, "source_url", "left")
+    # A page that names the sole funder is left aside; its card stays as listed.
+    whole = F.concat(stored, F.coalesce(F.col("_d_facts"), F.array().cast(cards.schema["facts"].dataType)))
+    use = F.coalesce(F.col("_page") & ~sole_funder(F.coalesce(fact_value(whole, "funders"), F.lit(""))), F.lit(False))
+    taken = joined.withColumn("_found", use).withColumns({c: F.when(F.col("_found"), F.col(c)) for c in joined.columns if c.startswith("_d_")})
+    return taken.select(
         *[c for c in cards.columns if c not in ("title", "facts", "opened_date", "closes_date", "description", "application_url")],
         filled("_d_title", "title").alias("title"),
         F.when(F.col("_found"), F.concat(stored, F.col("_d_facts"))).otherwise(F.col("facts")).alias("facts"),

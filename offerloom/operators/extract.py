@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import dates, money, urls
-from ..functions.text import join_filled, none_if_empty, once, squash, squash_lines, text_or_empty
+from ..functions.text import join_filled, none_if_empty, once, squash, squash_lines, strip, text_or_empty
 from . import dom
 
 NOISE_TAGS = ("script", "style", "nav")
@@ -47,7 +47,7 @@ def competition_cards(pages: DataFrame, base: str = fv.COMPETITION_BASE) -> Data
     lists = F.filter(nodes, lambda n: dom.is_tag(n, "dl") & dom.has_class(n, "date-definition-list"))
     days = F.filter(nodes, lambda n: dom.is_tag(n, "dd") & F.exists(lists, lambda d: dom.holds(d, n)))
     cards = _cards(pages, is_card).withColumns({"link": link, "blurb": blurb, "days": days})
-    href = F.trim(dom.attr(F.col("link"), "href"))
+    href = strip(dom.attr(F.col("link"), "href"))
     summary = text_or_empty(dom.text_of(nodes, F.col("blurb")))
 
     def day(i: int) -> Column:
@@ -113,7 +113,7 @@ def competition_details(pages: DataFrame) -> DataFrame:
         F.array_join(F.transform("wanted", lambda s: F.concat_ws("\n", s["heading"], s["body"])), "\n\n"),
     ).otherwise(F.array_join(F.filter(blocks, lambda b: b != ""), "\n\n"))
     lead = F.when(text_or_empty(F.col("url")) != "", F.concat(F.lit("Source page: "), F.col("url")))
-    described = parts.withColumn("description", F.trim(join_filled("\n\n", lead, text)))
+    described = parts.withColumn("description", strip(join_filled("\n\n", lead, text)))
     searched = F.coalesce(none_if_empty(F.col("description")), squash_lines(dom.text_in(nodes, "\n")))
     amounts = described.withColumn("amounts", money.all_amounts(searched, fv.POUND_PATTERN))
     return amounts.select(
@@ -123,17 +123,17 @@ def competition_details(pages: DataFrame) -> DataFrame:
 
 # --- source 2 -------------------------------------------------------------------
 
-def next_page(nodes: Column, page_url: Column, box_class: str = "pagination") -> Column:
-    """Link to the next page: marked as next, else worded as next."""
-    linked = F.filter(nodes, lambda n: dom.is_tag(n, "a") & dom.attr(n, "href").isNotNull()
-                      & dom.under_class(nodes, n, box_class))
+def next_page(nodes: Column, page_url: Column, box_class: str | None = "pagination") -> Column:
+    """Link to the next page: marked as next, else worded as next; anywhere if no box is named."""
+    inside = (lambda n: F.lit(True)) if box_class is None else (lambda n: dom.under_class(nodes, n, box_class))
+    linked = F.filter(nodes, lambda n: dom.is_tag(n, "a") & dom.attr(n, "href").isNotNull() & inside(n))
     marked = dom.find(linked, lambda n: F.coalesce(F.array_contains(F.split(dom.attr(n, "rel"), " "), "next"), F.lit(False))
                       | dom.has_class(n, "next"))
     worded = dom.find(linked, lambda n: F.contains(F.lower(dom.text_of(nodes, n)), F.lit("next")))
     return urls.resolve(page_url, dom.attr(F.coalesce(marked, worded), "href"))
 
 
-def next_links(pages: DataFrame, box_class: str = "pagination") -> DataFrame:
+def next_links(pages: DataFrame, box_class: str | None = "pagination") -> DataFrame:
     return dom.flatten(pages).select("url", next_page(F.col("nodes"), F.col("url"), box_class).alias("next_url"))
 
 
@@ -149,7 +149,7 @@ def connect_cards(pages: DataFrame, scope_id: str = "search-filter-results-366",
     lines = F.transform(F.filter(nodes, lambda n: dom.is_tag(n, "p")), lambda n: dom.text_of(nodes, n))
     opens = F.filter("lines", lambda t: F.contains(t, F.lit("Opens:")))
     closes = F.filter("lines", lambda t: F.contains(t, F.lit("Closes:")) & ~F.contains(t, F.lit("Opens:")))
-    link = urls.resolve(F.col("url"), F.trim(dom.attr(F.get(nodes, F.lit(0)), "href")))
+    link = urls.resolve(F.col("url"), strip(dom.attr(F.get(nodes, F.lit(0)), "href")))
     title = squash(dom.text_of(nodes, dom.find(nodes, lambda n: dom.is_tag(n, "h3"))))
     summary = squash(dom.text_of(nodes, dom.find(nodes, lambda n: dom.has_class(n, "line-clamp-5"))))
     return cards.withColumns({"lines": lines, "link": link}).select(

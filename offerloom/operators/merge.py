@@ -52,8 +52,8 @@ def prepare_batches(batches: list[tuple[DataFrame, SourceSpec]], as_of, now, ord
             *columns, *others, *[c.alias(f"_order{i}") for i, c in enumerate(by_order)], F.lit(spec.name).alias("_spec"))
 
     whole = union_items([typed(batch, spec) for batch, spec in batches])
-    if by_order:
-        whole = first_per_key(whole, ["_spec", "id"], [f"_order{i}" for i in range(len(by_order))])
+    # One row per id in any case; without an order, that with the least title, link and text.
+    whole = first_per_key(whole, ["_spec", "id"], [f"_order{i}" for i in range(len(by_order))] or ["title", "url", "description"])
     day = F.lit(as_of).cast("date")
     no_rolling = [spec.name for _, spec in batches if not spec.rolling]
     status = status_on(F.col("opened_date"), F.col("closes_date"), day)

@@ -26,8 +26,8 @@ PORTAL_RECORD = T.StructType([
 
 BUDGET = T.StructType([T.StructField("budgetTopicActionMap", T.MapType(T.StringType(), T.ArrayType(T.StructType([
     T.StructField("expectedGrants", T.StringType()),
-    T.StructField("minContribution", T.DoubleType()),
-    T.StructField("maxContribution", T.DoubleType()),
+    T.StructField("minContribution", T.StringType()),
+    T.StructField("maxContribution", T.StringType()),
     T.StructField("budgetYearMap", T.MapType(T.StringType(), T.StringType())),
 ]))))])
 
@@ -99,14 +99,15 @@ def budget_actions(payloads: Column) -> Column:
 
 
 def budget_range(actions: Column) -> tuple[Column, Column]:
-    """Smallest positive minimum and largest maximum."""
-    lows = F.filter(F.transform(actions, lambda a: a["minContribution"]), lambda v: v > 0)
-    return F.array_min(lows), F.array_max(F.transform(actions, lambda a: a["maxContribution"]))
+    """Smallest positive minimum and largest maximum; quoted numbers count as numbers."""
+    lows = F.filter(F.transform(actions, lambda a: a["minContribution"].try_cast("double")), lambda v: v > 0)
+    return F.array_min(lows), F.array_max(F.transform(actions, lambda a: a["maxContribution"].try_cast("double")))
 
 
 def year_total(years: Column) -> Column:
     """Sum of a year map's plain positive numbers."""
-    numbers = F.filter(F.map_values(years), lambda v: v.rlike(r"^(\d+\.?\d*|\.\d+)$"))
+    # JSON numbers arrive as Spark prints doubles, so an exponent may follow.
+    numbers = F.filter(F.map_values(years), lambda v: v.rlike(r"^(\d+\.?\d*|\.\d+)(E\d+)?$"))
     return F.aggregate(numbers, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
 
 
@@ -147,17 +148,17 @@ def merge_listing_and_detail(listing: DataFrame, detail: DataFrame, key: str = "
 def portal_items(records: DataFrame, rate: DataFrame, as_of, extra: tuple[str, ...] = ()) -> DataFrame:
     """Records to items with native and converted money.
 
-    ``rate`` is the feed's single (rate, rate_date) row, so the broadcast has a
-    fixed size.  Records without an identifier are dropped.
+    Of the feed's (rate, rate_date) rows the newest counts, of one day the highest rate;
+    it comes in as a scalar, without a join.  Records without an identifier are dropped.
     """
     day = F.lit(as_of).cast("date")
     m = F.col("metadata")
-    one_rate = rate.select(F.col("rate").alias("_rate"), F.col("rate_date").alias("_rate_date")).limit(1)
+    newest = rate.agg(F.max(F.struct("rate_date", "rate")).alias("r")).select("r").scalar()
     kept = [c for c in records.columns if c not in ("nodes",)]
     flat = dom.flatten(records.withColumn("_html", F.coalesce(first_value(meta(m, "descriptionByte")), F.lit(""))), "_html")
     body = squash_unescaped(dom.text_in(F.col("nodes"), "\n"))
     base = flat.select(*kept, body.alias("_body")).withColumn("_key", record_identifier(m)).where(F.col("_key").isNotNull())
-    staged = base.join(F.broadcast(one_rate), how="left").withColumns({
+    staged = base.withColumns({"_rate": newest["rate"], "_rate_date": newest["rate_date"]}).withColumns({
         "_actions": budget_actions(meta(m, "budgetOverview")),
         "_days": dates.deadlines(meta(m, "deadlineDate")),
         "_kind": squash_unescaped(first_value(meta(m, "typesOfAction"))),

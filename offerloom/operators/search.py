@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
 from ..functions import report
-from ..functions.text import contains_any_case
+from ..functions.text import contains_any_case, strip
 from ..model import DEFAULT_BOOK, SourceBook
 
-FEW_NAMES = 10_000
 TEXT_COLUMNS = ("title", "summary", "description")
 TAGGED_COLUMNS = ("title", "summary", "sector_tags", "niche_tags", "description")
 
@@ -98,7 +97,7 @@ def with_source_names(df: DataFrame, book: SourceBook = DEFAULT_BOOK) -> DataFra
     c = F.col("source")
     joined = df.join(F.broadcast(source_names(df.sparkSession, book)), "source", "left")
     return joined.withColumns({
-        "source_key": F.coalesce("source_key", F.trim(c)),
+        "source_key": F.coalesce("source_key", strip(c)),
         "source_label": F.coalesce("source_label", F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))),
         "source_position": F.coalesce("source_position", F.lit(fv.UNRANKED)),
         "source_priority": F.coalesce("source_priority", F.lit(fv.UNRANKED))})
@@ -108,13 +107,12 @@ def in_any_spelling(df: DataFrame, wanted: DataFrame, book: SourceBook = DEFAULT
     """Rows of the sources in ``wanted`` (a table of keys), whatever their spelling.
 
     Sources are few and their rows many, so a shuffle by source would be all skew.
-    The names are broadcast when a count shows they are few, else left to Spark.
+    Spark sees the size of the names and broadcasts them while that is small.
     """
     asked = wanted.select("source_key").distinct()
     spelled = asked.join(F.broadcast(source_names(df.sparkSession, book)), "source_key").select("source")
     stored = spelled.union(asked).distinct()
-    few = stored.limit(FEW_NAMES + 1).count() <= FEW_NAMES
-    return df.join(F.broadcast(stored) if few else stored, "source", "left_semi")
+    return df.join(stored, "source", "left_semi")
 
 
 def source_filter(df: DataFrame, names, book: SourceBook = DEFAULT_BOOK) -> DataFrame:

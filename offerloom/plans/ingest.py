@@ -7,6 +7,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.dates import lenient_stamp
 from ..model import DEFAULT_BOOK, SourceBook, SourceSpec
 from ..operators import dedupe, ledger, merge
 from ..session import cut_lineage
@@ -61,8 +62,8 @@ def run(spark: SparkSession, root: str, jobs: list[SourceJob], as_of, now, order
     metadata = snapshots.read_metadata(spark, f"{root}/ledger")
     previous = metadata.where(F.col("key").startswith(ledger.fv.SOURCE_STATUS_PREFIX)).select(
         ledger.read_state(F.col("value"), ledger.SOURCE_STATE).alias("s")).select(
-        "s.source", "s.status", F.to_timestamp("s.checked_at").alias("checked_at"),
-        F.to_timestamp("s.last_successful_at").alias("last_successful_at"), "s.count", "s.error")
+        "s.source", "s.status", lenient_stamp(F.col("s.checked_at")).alias("checked_at"),
+        lenient_stamp(F.col("s.last_successful_at")).alias("last_successful_at"), "s.count", "s.error")
     states = ledger.source_states(checks, previous)
     rows = ledger.state_rows(states).unionByName(ledger.run_rows(ledger.run_state(checks)))
     snapshots.write_metadata(merge.upsert_metadata(metadata, rows), f"{root}/ledger")

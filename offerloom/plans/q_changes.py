@@ -193,12 +193,18 @@ def _(spark, folder):
     return merge.migration_report(catalogue(spark, folder).drop("eligible_applicants"))
 
 
-@query("j10_reclassify", """select 'uk_wide' as geographic_scope, count(*) as rows_seen, count(*) filter (where geographic_scope is null
- or eligible_applicants is distinct from case when source in ('innovate_uk', 'Innovate UK', 'iuk_business_connect') then 'business' else 'any' end) as rows_changed from catalogue""")
+@query("j10_reclassify", """select 'uk_wide' as geographic_scope, count(*) as rows_seen,
+ count(*) filter (where geographic_scope is distinct from 'uk_wide') as rows_changed from catalogue""")
 def _(spark, folder):
     return classify.reclassify_report(classify.reclassify(catalogue(spark, folder)))
 
 
+@query("j10_reclassify_applicants", """select who as eligible_applicants, count(*) as rows_seen, count(*) filter (where eligible_applicants is distinct from who) as rows_changed
+ from (select *, case when source in ('innovate_uk', 'Innovate UK', 'iuk_business_connect') then 'business' else 'any' end as who from catalogue) group by who""")
+def _(spark, folder):
+    return classify.reclassify_report(classify.reclassify(catalogue(spark, folder)), "eligible_applicants")
+
+
 # --- enrichment: a stored competition per part, and the detail page of most ---------------
 
 def competitions(spark, folder):

@@ -86,6 +86,11 @@ COUNCIL_LIST = """<div class="opportunity"><h3><a class="ukri-funding-opp__link"
 <div class="opportunity"><h3>no link</h3></div><a class="next page-numbers" href="/opportunity/page/2/">Next</a>"""
 
 
+@query("b04_next_page_anywhere", "select p_partkey, 'https://site.example.org/opportunity/page/2/' as next_url from part")
+def _(spark, folder):
+    return with_key(extract.next_links(pages_of(spark, folder, COUNCIL_LIST, ends_text=long_day(F.col("ends")), funders=F.lit("none"), money_label=F.lit("Award")).select("url", "html"), box_class=None)).select("p_partkey", "next_url")
+
+
 def council_cards(spark, folder):
     kind = F.col("p_type")
     return extract.council_cards(pages_of(
@@ -264,7 +269,7 @@ def _(spark, folder):
 
 def budgets(spark, folder):
     """Budget payloads of a part: two good ones and a broken one."""
-    good = fill('{{"budgetTopicActionMap":{{"1":[{{"expectedGrants":{p_size},"minContribution":{low},"maxContribution":{high},"budgetYearMap":{{"1998":"{p_size}000000","1999":"1500.5","2000":"n/a"}}}}],"2":null}}}}'
+    good = fill('{{"budgetTopicActionMap":{{"1":[{{"expectedGrants":{p_size},"minContribution":"{low}","maxContribution":{high},"budgetYearMap":{{"1998":{p_size}000000.0,"1999":"1500.5","2000":"n/a"}}}}],"2":null}}}}'
                 .replace("{{", "\x01").replace("}}", "\x02"), low=F.when(F.col("p_size") < 10, "0").otherwise(F.col("p_size").cast("string")), high=F.col("p_size") * 1000)
     good = F.translate(good, "\x01\x02", "{}")
     flat = F.lit('{"budgetTopicActionMap":{"7":[{"expectedGrants":0,"maxContribution":20000,"budgetYearMap":{}},{"minContribution":25}]}}')

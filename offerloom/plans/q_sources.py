@@ -93,17 +93,17 @@ def _(spark, folder):
     return feed.select("p_partkey", *plain)
 
 
-@query("a09_crawled_pages", """with capped as (select *, case when l_quantity <= 5 then 0 else l_quantity end as size from lineitem where l_linenumber <= 6),
+@query("a09_crawled_pages", """with capped as (select *, case when l_quantity <= 5 then 0 else l_quantity end as size from lineitem),
  stops as (select l_orderkey, min(case when size = 0 then l_linenumber end) as empty, min(case when size < 12 then l_linenumber end) as short from capped group by l_orderkey)
  select l_orderkey, l_linenumber, l_partkey, l_quantity from capped join stops using (l_orderkey)
  where (empty is null or l_linenumber < empty) and (short is null or l_linenumber <= short)""")
 def _(spark, folder):
     size = F.when(F.col("l_quantity") <= 5, 0).otherwise(F.col("l_quantity"))
-    return landed.crawled_pages(table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber", size, max_pages=6, page_size=12).select(
+    return landed.crawled_pages(table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber", size, page_size=12).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
-@query("a09_until_complete", """with firsts as (select l_orderkey, l_returnflag, min(l_linenumber) as l_linenumber from lineitem where l_linenumber <= 20 group by all),
+@query("a09_until_complete", """with firsts as (select l_orderkey, l_returnflag, min(l_linenumber) as l_linenumber from lineitem group by all),
  stops as (select l_orderkey, min(page) as stop from (select l_orderkey, page, (select count(*) from firsts f where f.l_orderkey = p.l_orderkey and f.l_linenumber < page) as seen,
    (select max(l_linenumber) from lineitem l where l.l_orderkey = p.l_orderkey and l.l_linenumber < page) as previous
    from (select distinct l_orderkey, l_linenumber as page from lineitem) p) where seen >= 2 and previous is not null group by l_orderkey)

@@ -84,15 +84,19 @@ def best_hits(hits: DataFrame, key: str = "identifier", found: str = "found", sl
     return first_per_key(hits.withColumn("_exact", exact), [key], [F.col("_exact").desc(), F.col(slot)]).drop("_exact")
 
 
-def crawled_pages(pages: DataFrame, crawl: str, page_no: str, size: Column, max_pages: int = 20,
+def _capped(pages: DataFrame, page_no: str, max_pages: int | None) -> DataFrame:
+    return pages if max_pages is None else pages.where(F.col(page_no) <= max_pages)
+
+
+def crawled_pages(pages: DataFrame, crawl: str, page_no: str, size: Column, max_pages: int | None = None,
                   page_size: int | None = None) -> DataFrame:
-    """Pages a crawl would have read: up to its cap, before its first empty page, and
-    up to its first short page when there is a page size.
+    """Pages a crawl would have read: before its first empty page, up to its first short
+    page when there is a page size, and up to a cap if one is given.
 
-    The cap goes first and bounds the pages of a crawl; the first stop is found by
-    grouping, with map-side combine, not by gathering a crawl in one task.
+    The first stop is found by grouping, with map-side combine, not by gathering a
+    crawl in one task.
     """
-    sized = pages.where(F.col(page_no) <= max_pages).withColumn("_size", size)
+    sized = _capped(pages, page_no, max_pages).withColumn("_size", size)
     stops = sized.groupBy(crawl).agg(
         F.min(F.when(F.col("_size") == 0, F.col(page_no))).alias("_empty"),
         F.min(F.when(F.col("_size") < (page_size or 0), F.col(page_no))).alias("_short"))
@@ -102,13 +106,13 @@ def crawled_pages(pages: DataFrame, crawl: str, page_no: str, size: Column, max_
     return sized.join(stops, crawl).where(inside).drop("_size", "_empty", "_short")
 
 
-def until_complete(records: DataFrame, crawl: str, page_no: str, key: str, total: str, max_pages: int = 20) -> DataFrame:
+def until_complete(records: DataFrame, crawl: str, page_no: str, key: str, total: str, max_pages: int | None = None) -> DataFrame:
     """Records of the pages read before the crawl had seen as many keys as announced."""
-    capped = records.where(F.col(page_no) <= max_pages)
+    capped = _capped(records, page_no, max_pages)
     first_seen = capped.groupBy(crawl, key).agg(F.min(page_no).alias(page_no))
     new_keys = first_seen.groupBy(crawl, page_no).agg(F.count("*").alias("_new"))
     per_page = capped.groupBy(crawl, page_no).agg(F.max(total).alias("_total")).join(new_keys, [crawl, page_no], "left")
-    # At most max_pages rows per crawl reach this window.
+    # One row per page of a crawl reaches this window.
     before = Window.partitionBy(crawl).orderBy(page_no).rowsBetween(Window.unboundedPreceding, -1)
     done = F.coalesce(F.sum("_new").over(before), F.lit(0)) >= F.nullif(F.lag("_total").over(
         Window.partitionBy(crawl).orderBy(page_no)), F.lit(0))

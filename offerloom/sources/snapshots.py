@@ -14,20 +14,23 @@ from ..model import CATALOGUE, METADATA
 _PREFIX = "version="
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
+def _versions(spark: SparkSession, root: str, committed: bool = True) -> list[int]:
     """Committed versions, by the marker the file committer leaves."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(folder):
         return []
     names = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith(_PREFIX)]
+    if not committed:
+        return sorted(int(p.getName()[len(_PREFIX):]) for p in names)
     done = [p.getName() for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
     return sorted(int(name[len(_PREFIX):]) for name in done)
 
 
 def write_snapshot(df: DataFrame, root: str, partition_by: str | None = "status") -> int:
     """Write the next version and return its number.  ``df`` may read an older one."""
-    version = max(_versions(df.sparkSession, root), default=0) + 1
+    # The folder of a write that failed keeps its number; the next write takes another.
+    version = max(_versions(df.sparkSession, root, committed=False), default=0) + 1
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)
