@@ -103,17 +103,14 @@ def council_with_detail(cards: DataFrame, details: DataFrame) -> DataFrame:
     so headers are not repeated.
     """
     details = first_per_key(details, ["source_url"], [*_newest(details), "title", "description"])
-    other = details.select("source_url", F.lit(True).alias("_page"), *[
+    # A page that names the sole funder is left aside; its card stays as listed.
+    details = details.where(~sole_funder(F.coalesce(fact_value(F.col("facts"), "funders"), F.lit(""))))
+    other = details.select("source_url", F.lit(True).alias("_found"), *[
         F.col(c).alias(f"_d_{c}") for c in ("title", "facts", "opened_date", "closes_date", "description", "application_url")])
     filled = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
     stored = facts_from_tags(fact_value(F.col("facts"), "funders"), F.concat_ws(
         ", ", fact_value(F.col("facts"), "funding type"), fact_value(F.col("facts"), "opportunity status")))
-    joined = cards.join(other, "source_url", "left")
-    # A page that names the sole funder is left aside; its card stays as listed.
-    whole = F.concat(stored, F.coalesce(F.col("_d_facts"), F.array().cast(cards.schema["facts"].dataType)))
-    use = F.coalesce(F.col("_page") & ~sole_funder(F.coalesce(fact_value(whole, "funders"), F.lit(""))), F.lit(False))
-    taken = joined.withColumn("_found", use).withColumns({c: F.when(F.col("_found"), F.col(c)) for c in joined.columns if c.startswith("_d_")})
-    return taken.select(
+    return cards.join(other, "source_url", "left").select(
         *[c for c in cards.columns if c not in ("title", "facts", "opened_date", "closes_date", "description", "application_url")],
         filled("_d_title", "title").alias("title"),
         F.when(F.col("_found"), F.concat(stored, F.col("_d_facts"))).otherwise(F.col("facts")).alias("facts"),
