@@ -11,60 +11,61 @@ from .registry import query
 from .sample import spread_table, table
 
 # One text and source per nation key, with the class it has to get.
+# Own sentences; only names of funds, councils and places, which the rules look for, are given.
 PLACES = [
-    ("uk_wide", "ukri", "Open innovation grant. UK businesses can apply."),
-    ("uk_wide", "horizon_europe", "A call for Wales"),
-    ("scotland", "konfer", "SMART: Scotland grant"),
-    ("scotland", "ukri", "Run by Scottish  Enterprise."),
-    ("scotland", "ukri", "Highlands & Islands Enterprise fund"),
-    ("scotland", "ukri", "A programme for Scotland."),
-    ("wales", "ukri", "Development Bank of Wales loans"),
-    ("wales", "ukri", "Backed by the Welsh-Government"),
-    ("wales", "ukri", "Innovation grants for Wales"),
-    ("northern_ireland", "ukri", "Invest NI support"),
-    ("northern_ireland", "ukri", "Support for Northern Ireland businesses."),
-    ("england_east_midlands,england_west_midlands", "ukri", "Midlands Engine Investment Fund"),
-    ("england_north_east,england_north_west,england_yorkshire", "ukri", "Northern Powerhouse Investment Fund"),
-    ("england_south_west", "ukri", "South West Investment Fund"),
-    ("england_yorkshire", "ukri", "Yorkshire & Humber Investment Fund"),
-    ("england_east", "ukri", "East of England Investment Fund"),
-    ("england_london", "ukri", "Open to businesses based in London."),
-    ("england", "ukri", "Applicants must be registered in England."),
-    ("wales", "ukri", "Companies based in Wales or Scottish Enterprise areas"),
-    ("scotland", "ukri", "Companies located in Europe, from Scottish Enterprise"),
-    ("england_east", "ukri", "For SMEs located in the East of England"),
-    ("england_yorkshire", "ukri", "Organisations based in Hull and the Humber"),
-    ("uk_wide", "Horizon Europe ", "Invest NI"),
-    ("uk_wide", "ukri", "Businesses based in France"),
-    ("northern_ireland", "ukri", "We invest nine million"),
+    ("uk_wide", "ukri", "Money for heat pumps in old terraces, any region."),
+    ("uk_wide", "horizon_europe", "Peatland partners, Wales among them"),
+    ("scotland", "konfer", "SMART: Scotland, round nine, opens after harvest"),
+    ("scotland", "ukri", "Vouchers handed out by   Scottish Enterprise in spring"),
+    ("scotland", "ukri", "Crofters may ask Highlands & Islands Enterprise"),
+    ("scotland", "ukri", "Ferry electrification for Scotland"),
+    ("wales", "ukri", "A loan book of the Development Bank of Wales"),
+    ("wales", "ukri", "Slate tips: the Welsh-Government pays half"),
+    ("wales", "ukri", "Tidal lagoon studies for Wales"),
+    ("northern_ireland", "ukri", "Linen machinery, with Invest NI"),
+    ("northern_ireland", "ukri", "Dairy sensors for Northern Ireland"),
+    ("england_east_midlands,england_west_midlands", "ukri", "Equity out of the Midlands Engine Investment Fund"),
+    ("england_north_east,england_north_west,england_yorkshire", "ukri", "Second close of the Northern Powerhouse Investment Fund"),
+    ("england_south_west", "ukri", "Marine loans: South West Investment Fund"),
+    ("england_yorkshire", "ukri", "A seed pot, the Yorkshire & Humber Investment Fund"),
+    ("england_east", "ukri", "Fenland drainage, East of England Investment Fund"),
+    ("england_london", "ukri", "Rehearsal rooms for organisations based in London"),
+    ("england", "ukri", "Ten acres and more, businesses registered in England"),
+    ("wales", "ukri", "Casting sand: companies based in Wales that Scottish Enterprise once helped"),
+    ("scotland", "ukri", "Looms for companies located in Europe that Scottish Enterprise backs"),
+    ("england_east", "ukri", "Seed trays, SMEs located in the East of England"),
+    ("england_yorkshire", "ukri", "Cranes for companies based in Hull and the Humber"),
+    ("uk_wide", "Horizon Europe ", "Glass recycling with Invest NI"),
+    ("uk_wide", "ukri", "Corks for companies based in France"),
+    ("northern_ireland", "ukri", "Ports plan to invest nine weeks"),
 ]
 APPLICANTS = [
-    ("academic", "ukri", "EPSRC standard research grant. This funding is for universities and higher education institutions."),
-    ("business,academic", "ukri", "Accelerated Knowledge Transfer Partnerships 6"),
-    ("business,academic", "innovate_uk", "An AKTP call"),
-    ("business", "innovate_uk", "Smart grants. UK registered SMEs can apply."),
-    ("any", "horizon_europe", "Fellowship"),
-    ("any", "konfer", "Open innovation support"),
-    ("individual", "ukri", "Early career awards"),
-    ("academic,individual", "ukri", "Doctoral awards at a university"),
-    ("academic,individual", "ukri", "PhD students and their theses"),
-    ("business,academic", "innovate_uk", "Projects for universities must include one academic partner"),
-    ("business", "konfer", "Collaborative R&D for universities"),
-    ("business,academic", "konfer", "Loan fund for universities, requires a university partner"),
-    ("business,research_org", "konfer", "Eligible: companies and Catapults"),
-    ("public_sector,charity", "konfer", "Open to charities, the NHS and not-for-profits"),
-    ("any", "konfer", "Charities"),
-    ("academic", "konfer", "A call of the Natural Environment Research Council"),
-    ("individual", "konfer", "Apply as researchers"),
-    ("business", "iuk_business_connect", "Help with SBRI"),
-    ("business", "Innovate UK", "Anything"),
-    ("any", "konfer", "Horizon scanning"),
+    ("academic", "ukri", "EPSRC call on quiet propellers. Bids come from universities only."),
+    ("business,academic", "ukri", "Knowledge Transfer Partnerships for bakeries"),
+    ("business,academic", "innovate_uk", "AKTP places, autumn intake"),
+    ("business", "innovate_uk", "Smart grants. Boatyards may send one bid."),
+    ("any", "horizon_europe", "A fellowship at sea"),
+    ("any", "konfer", "Ideas for warmer barns"),
+    ("individual", "ukri", "Prizes for early career botanists"),
+    ("academic,individual", "ukri", "Doctoral stipends, paid by a university"),
+    ("academic,individual", "ukri", "A PhD hardship fund at each university"),
+    ("business,academic", "innovate_uk", "Rail trials, open to universities, must include one academic partner"),
+    ("business", "konfer", "Collaborative R&D on kelp for universities"),
+    ("business,academic", "konfer", "A loan fund open to universities that requires a university partner"),
+    ("business,research_org", "konfer", "Eligible: companies that rent Catapults"),
+    ("public_sector,charity", "konfer", "Open to charities, hospices of the NHS, and not-for-profits"),
+    ("any", "konfer", "Charities in the news"),
+    ("academic", "konfer", "Moss surveys by the Natural Environment Research Council"),
+    ("individual", "konfer", "Apply as researchers, one form each"),
+    ("business", "iuk_business_connect", "How SBRI works, a webinar"),
+    ("business", "Innovate UK", "Lanterns"),
+    ("any", "konfer", "Scanning the horizon for moths"),
     ("business,academic,research_org,public_sector,charity,individual", "konfer",
      "Applicants: enterprises, HEIs, RTOs, local authorities, charity, individuals"),
-    ("academic", "konfer", "STFC"),
-    ("individual", "konfer", "New  Investigator scheme of the ESRC"),
-    ("business", "konfer", "Accelerators for students"),
-    ("any", "konfer", "Grants in general"),
+    ("academic", "konfer", "Telescope time, STFC"),
+    ("individual", "konfer", "ESRC, its New  Investigator round"),
+    ("business", "konfer", "Accelerators that host students"),
+    ("any", "konfer", "Small sums for village halls"),
 ]
 
 
