@@ -173,3 +173,28 @@ def test_any_number_of_blocks_finds_the_same_neighbours(count):
     m = fuzzy_lines.choose_blocks(count)
     keys = zip(fuzzy_lines.block_keys(sims, m), fuzzy_lines.block_keys(near, m))
     assert np.any([a == b for a, b in keys], axis=0).all()
+
+
+def test_lines_within_80_percent_meet(spark):
+    """One replaced word in ten, or two in twenty: far more than three bits of a SimHash apart."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8)))
+    texts, alike = [], 0
+    for i in range(240):
+        a = [word() for _ in range(10 if i % 2 else 20)]
+        b = list(a)
+        for k in rng.sample(range(len(b)), len(b) // 10):
+            b[k] = word()
+        alike += fuzzy_lines.similar(" ".join(a), " ".join(b))
+        texts += [" ".join(a), " ".join(b)]
+    gone = sum(r.n_removed for r in fuzzy_lines.dedup_lines(table(spark, texts)).collect())
+    assert alike > 200 and 0.95 * alike <= gone <= alike
+
+
+def test_short_lines_take_part(spark):
+    """Exact copies at any length, near copies of short lines, marks only, and scripts without blanks."""
+    texts = ["all rights reserved", "All rights reserved.", "---", "---", "***", "colour of ships", "color of ships", "港の事務所は朝早く開き職員が手紙を分けた", "港の事務所は朝早く開き職員が書簡を分けた", "7", "x"]
+    rows = {r.doc_id: r.n_removed for r in fuzzy_lines.dedup_lines(table(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [0, 1, 0, 1, 0, 0, 1, 0, 1, 0, 0]
+    rows = fuzzy_lines.dedup_lines(table(spark, ["a b c", "a b c", "港の事務所は朝早く開き職員が手紙を分けた"] * 2), least_chars=20).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
