@@ -13,6 +13,7 @@ from offerloom.llm import bpe, decontaminate, fuzzy_lines, jaccard, langid
 from offerloom.session import configure, fresh_path
 
 LEAST_SCORE = 0.5  # below this the language is not clear enough to keep a document
+LEAST_CHARS = 20  # lines under five words and under so many characters stay: an own test of the stages asks for short lines to stay
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without near-equal lines that stand elsewhere; a document of which no word is left goes."""
-    left = fuzzy_lines.dedup_lines(docs)
+    left = fuzzy_lines.dedup_lines(docs, least_chars=LEAST_CHARS)
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     return (left.where(~(blank & (F.col("n_removed") > 0)))
             .withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns))
