@@ -7,8 +7,8 @@ entropy in bits of its piece tokens.  A text is rejected when one of them lies f
 of the band of its group: more than ``FENCES`` interquartile ranges (and at least a
 share ``LEAST_WIDTH`` of the median) beyond the quartiles of all texts of the group that pass
 the plain rules.  The group is the language label, or the main script where there is no
-label.  A group with fewer than ``LEAST_ROWS`` texts uses the band over all texts, for a
-few texts have no quartiles to speak of.
+label.  Every group has its own band, whatever its size; with n passing texts the band's
+width grows by the share ``FEW`` / n, for the quartiles of a few texts say little.
 
 ``measure`` gives the numbers, ``verdicts`` the decision; each returns one row per input
 row.  Null and empty texts have no words and fail the plain rules.  Quantiles are Spark's
@@ -33,7 +33,7 @@ MOST_REPEATED = 30  # percent of words in repeated windows
 FENCES = 3.0
 LEAST_WIDTH = {"chars_per_token": 0.5, "chars_per_piece": 0.5, "fallback_share": 0.5, "entropy": 0.25}
 EVENNESS = 0.75  # a short text has little entropy: it counts as low only under this share of the most its tokens could have
-LEAST_ROWS = 100
+FEW = 10
 ACCURACY = 1000
 WAYS = 64
 CACHE = 300_000  # words remembered by a task (memory bound, not a limit on input)
@@ -174,22 +174,19 @@ def verdicts(measured: DataFrame, language: str = "lang") -> DataFrame:
     rated = cut_lineage(rated, "fertility")
     good = rated.where(~F.col("base_failed"))
     quartiles = [F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY).alias(f"__{c}") for c in RATES]
-    own = good.groupBy("__group").agg(F.count("*").alias("__rows"), *quartiles).where(F.col("__rows") >= LEAST_ROWS).drop("__rows")
-    every = good.agg(*quartiles)
-    # One row for all texts; as scalars they cost no join.
-    spare = {c: every.select(f"__{c}").scalar() for c in RATES}
+    own = good.groupBy("__group").agg(F.count("*").alias("__rows"), *quartiles)
     # One language may hold most texts: its texts are dealt over WAYS copies of its band.
     ways = F.explode(F.array(*[F.lit(i) for i in range(WAYS)]))
     out = rated.withColumn("__way", F.pmod(F.monotonically_increasing_id(), F.lit(WAYS)).cast("int")).join(own.withColumn("__way", ways), ["__group", "__way"], "left")
     reasons = []
     for c in RATES:
-        band = F.coalesce(F.col(f"__{c}"), spare[c])
+        band = F.col(f"__{c}")
         low, middle, high = F.get(band, 0), F.get(band, 1), F.get(band, 2)
-        width = F.greatest(FENCES * (high - low), LEAST_WIDTH[c] * middle, F.lit(0.01))
+        width = F.greatest(FENCES * (high - low), LEAST_WIDTH[c] * middle, F.lit(0.01)) * (1 + FEW / F.col("__rows"))
         floor = low - width
         if c == "entropy":
             floor = F.least(floor, EVENNESS * F.log2(F.greatest("n_piece_tokens", F.lit(1))))
         reasons.append(F.when(F.col(c) < floor, f"{c} low").when(F.col(c) > high + width, f"{c} high"))
     reason = F.when(F.col("base_failed"), "base").otherwise(F.coalesce(*reasons))
     return (out.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
-            .drop("__group", "__way", *[f"__{c}" for c in RATES]))
+            .drop("__group", "__way", "__rows", *[f"__{c}" for c in RATES]))

@@ -47,3 +47,10 @@ def test_verdicts(table):
 
 def test_empty_table(table):
     assert fertility.verdicts(fertility.measure(table[1].limit(0), USE)).collect() == []
+
+
+def test_small_groups_are_judged_by_their_own_band(spark):
+    greek = "το γραφείο του λιμανιού άνοιξε νωρίς και οι υπάλληλοι ταξινόμησαν γράμματα ενώ η βροχή έπεφτε σε βάρκες κοντά στην παλιά προβλήτα πριν έρθει το μεσημέρι"
+    texts = [(i, GOOD % i, "en") for i in range(150)] + [(200 + i, f"{greek} {i}", "el") for i in range(3)] + [(300, greek, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert all(r.kept for r in fertility.verdicts(fertility.measure(docs, USE)).collect())
