@@ -8,9 +8,10 @@ The CGK embedding walks over a string: step j writes the byte it stands on and m
 or stays, as a random bit for (j, byte) says.  Strings at small edit distance fall into
 step and write mostly the same bytes, so edit distance becomes Hamming distance.  A key
 is a sample of ``SAMPLED`` of the first ``STEPS`` written bytes; ``REPEATS`` independent
-walks and samples give a window several chances.  Windows start at every word of a text,
-and an item is embedded from each of its words that leaves room for the walk, so one
-clean stretch anywhere is enough; ``tests/llm`` measures the recall.  Windows drop out
+walks and samples give a window several chances.  Windows start at every word of a text, at every character beside a
+byte that is not ASCII, and within runs of ``LEAST`` bytes or more without a blank at places
+their next bytes choose; an item is embedded from each such place of its own that leaves
+room for the walk, so one clean stretch anywhere is enough; ``tests/llm`` measures the recall.  Windows drop out
 of the walk as soon as no item has their sample so far.  A hit is checked by shared
 5-grams, which loses nothing, then by the exact least edit distance between the item
 and any stretch of the item-sized window around it.
@@ -21,7 +22,8 @@ one slice of texts.
 
 ``matches(docs, items)`` gives one row per (text, item): the text's key, the item's id
 and the distance.  Null and empty texts match nothing; items with fewer than ``LEAST``
-folded characters are not looked for.  Repeated rows each give their rows; items with
+folded bytes are found where the folded text holds them exactly, as whole words where
+their ends are ASCII; items without letters match nothing.  Repeated rows each give their rows; items with
 one text each match.  ``clean`` keeps the texts without a match, all columns, and adds none.
 """
 
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._words import Slice, slices
+from ._words import Slice, byte_hashes, slices
 
 EDITS = 10
 STEPS, SAMPLED, REPEATS = 32, 12, 4
@@ -64,6 +66,24 @@ def folded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, total + np.arange(n + 1)
 
 
+def _begins(data: np.ndarray) -> np.ndarray:
+    """Where a word of folded texts begins, or a character beside a byte that is not ASCII."""
+    before = np.concatenate([np.zeros(1, np.uint8), data[:-1]])
+    edge = (before == 32) | (before == 0) | (before >= 128) | (data >= 128)
+    return edge & (data != 0) & (data != 32) & ((data & 0xC0) != 0x80)
+
+
+def _chosen(data: np.ndarray) -> np.ndarray:
+    """One place in about eight, as the GRAM bytes from it on say."""
+    return _cells(data) % 8 == 0
+
+
+def _long_runs(data: np.ndarray) -> np.ndarray:
+    """Which bytes lie in a run of LEAST or more bytes without a blank."""
+    stops = np.concatenate([[-1], np.flatnonzero((data == 32) | (data == 0)), [len(data)]])
+    return np.repeat(np.diff(stops) > LEAST, np.diff(stops))[:len(data)]
+
+
 class _Walks:
     """Random bits and sampled steps of each repeat; the same everywhere, from one seed."""
 
@@ -101,6 +121,7 @@ class _Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.walks, self.ids, self.texts = _Walks(), [], []
+        self.short: dict[bytes, list[int]] = {}
         for ident, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             body, _ = folded(raw, np.array([0, len(raw)]))
@@ -108,10 +129,15 @@ class _Items:
             if len(body) >= LEAST:
                 self.ids.append(ident)
                 self.texts.append(body)
+            elif body:
+                self.short.setdefault(body, []).append(ident)
+        self.sizes = sorted({len(t) for t in self.short})
         data = np.frombuffer(b"".join(t + b"\0" for t in self.texts), np.uint8)
         starts, owner, offset, base = [], [], [], 0
         for i, t in enumerate(self.texts):
-            own = [0, *(k + 1 for k in range(len(t)) if t[k] == 32 and k + 1 <= len(t) - STEPS)]
+            raw = np.frombuffer(t + b"\0", np.uint8)
+            places = np.flatnonzero((_begins(raw) | _chosen(raw) & (raw != 32))[:len(t) - STEPS + 1])
+            own = [0, *places[places > 0].tolist()]
             starts += [base + k for k in own]
             owner += [i] * len(own)
             offset += own
@@ -136,12 +162,13 @@ class _Items:
     def find(self, part: Slice) -> list[tuple[int, int, int]]:
         """(row, item id, distance) for each text of a slice and item it holds."""
         data, bounds = folded(part.data, part.bounds)
-        if not len(data) or not self.ids:
+        if not len(data):
             return []
-        first = np.zeros(len(data), bool)
-        first[1:] = (data[:-1] == 32) | (data[:-1] == 0)
-        first[0] = True
-        starts = np.flatnonzero(first & (data != 0) & (data != 32))
+        begins = _begins(data)
+        held = self._held(data, bounds, np.flatnonzero(begins))
+        if not self.ids:
+            return held
+        starts = np.flatnonzero(begins | _long_runs(data) & _chosen(data) & (data != 0) & (data != 32))
         rows, items, places = [], [], []
         for r in range(REPEATS):
             key, _, left = self.walks.keys(r, data, starts, self.allowed[r])
@@ -175,7 +202,23 @@ class _Items:
                     if found <= edits:
                         r = int(row[own[j]])
                         best[r, k] = min(found, best.get((r, k), found))
-        return [(r, self.ids[k], d) for (r, k), d in sorted(best.items())]
+        return held + [(r, self.ids[k], d) for (r, k), d in sorted(best.items())]
+
+    def _held(self, data: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, item id, 0) for each text and short item that stands in it exactly."""
+        part, found = Slice(None, data, bounds), set()
+        for size in self.sizes:
+            texts = [t for t in self.short if len(t) == size]
+            own = np.frombuffer(b"".join(texts), np.uint8)
+            ends = np.arange(1, len(texts) + 1) * size
+            names = byte_hashes(Slice(None, own, np.array([0, len(own)])), ends - size, ends)
+            at = starts[starts + size < len(data)]
+            after = data[at + size]
+            at = at[(after == 32) | (after == 0) | (after >= 128) | (data[at + size - 1] >= 128)]
+            for place in at[np.isin(byte_hashes(part, at, at + size), names)].tolist():
+                row = int(np.searchsorted(bounds, place, "right") - 1)
+                found |= {(row, ident, 0) for ident in self.short.get(data[place:place + size].tobytes(), ())}
+        return sorted(found)
 
 
 def _cells(data: np.ndarray) -> np.ndarray:

@@ -95,3 +95,15 @@ def test_matches_and_recall(spark):
     left = {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
     assert left >= {*range(1000, 1050), 2000, 2001} and None not in left and not left & {i for i in planted if i % 2 == 0}
     assert decontaminate.matches(docs.limit(0), bench).collect() == [] and decontaminate.matches(docs, bench.limit(0)).collect() == []
+
+
+def test_items_without_blanks_and_short_items(spark):
+    han = "港の事務所は朝早く開き職員たちは雨の降る埠頭で届いた手紙を静かに仕分けていた"
+    rng = random.Random(3)
+    code = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(90))
+    ask = "What is the capital of France?"
+    docs = spark.createDataFrame([
+        (1, "昨日の新聞によれば" + han + "という話が町で広く知られている"), (2, "q7" + code + "zz8"), (3, "He asks: what is the CAPITAL of France, then"),
+        (4, "what is the capital of Francesca"), (5, "私は東京都庁へ行く")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, han), (2, code), (3, ask), (4, "東京都庁"), (5, "?!")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, bench).collect()) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (5, 4, 0)]
