@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
@@ -161,3 +163,27 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from . import decontaminate
 
     return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_merkle")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from . import merkle
+
+    docs = table(spark, folder, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf({"text": lowered}))
+    made = merkle.manifest(docs, carry={"doc_id": F.col("doc_id"), "tampered": tampered})
+
+    def check(batches):
+        for batch in batches:
+            shown, folded = [], []
+            digests = pc.coalesce(batch.column("tampered"), batch.column("leaf")).to_pylist()
+            for digest, proof in zip(digests, batch.column("proof").to_pylist()):
+                shown.append(merkle.siblings_digest(proof))
+                folded.append(merkle.fold(digest, proof))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shown, pa.string()), pa.array(folded, pa.string())],
+                                             names=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root"])
+
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, leaf string, subroot string, root string, proof_sha256 string, folded_root string"
+    proofs = made.proofs(("doc_id", "tampered")).select("doc_id", "leaf", "subroot", "root", "tampered", "proof")
+    return proofs.mapInArrow(check, shape).withColumn("verified", F.col("folded_root") == F.col("root"))
