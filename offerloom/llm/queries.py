@@ -187,3 +187,15 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, leaf string, subroot string, root string, proof_sha256 string, folded_root string"
     proofs = made.proofs(("doc_id", "tampered")).select("doc_id", "leaf", "subroot", "root", "tampered", "proof")
     return proofs.mapInArrow(check, shape).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op11_huffman_ids")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from ..session import fresh_path
+    from . import huffman
+
+    path = fresh_path(spark, "huffman")
+    huffman.write(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return huffman.read(spark, path).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
