@@ -199,3 +199,33 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "huffman")
     huffman.write(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return huffman.read(spark, path).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """Texts as their words joined by one space; in a tenth of them, by id, the words from some place on repeat with some period."""
+    n, h = F.size("w").cast("bigint"), F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(1))
+    g = F.floor(F.col("h") / 10)
+    a, p = g % F.greatest("n", F.lit(1)), F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + g % 8))
+    told = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \t\n\u000b\f\r]+"), F.lit(0)).alias("w"), h.alias("h"))
+    told = told.withColumn("n", n).withColumn("a", a).withColumn("p", p)
+    again = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1),
+                        lambda i: F.col("w")[F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")])
+    return told.select("doc_id", F.array_join(F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), again).otherwise(F.col("w")), " ").alias("text"))
+
+
+@query("op12_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from . import runs
+
+    found = runs.find(made_periodic(table(spark, folder, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    # Exponents are compared as products, so exactly.
+    above = lambda a, b: a["length"] * b["period"] - b["length"] * a["period"]
+    order = lambda a, b: F.when(above(a, b) > 0, -1).when(above(a, b) < 0, 1).when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(
+        F.signum(a["period"] - b["period"]).cast("int"))
+    best = F.try_element_at(F.array_sort("runs", order), F.lit(1))
+    told = found.withColumn("best", best).withColumn("told", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))))
+    return told.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join("told", ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"), "n_words")
