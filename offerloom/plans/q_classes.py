@@ -14,7 +14,7 @@ from .sample import spread_table, table
 # Own sentences; only names of funds, councils and places, which the rules look for, are given.
 PLACES = [
     ("uk_wide", "ukri", "Money for heat pumps in old terraces, any region."),
-    ("uk_wide", "horizon_europe", "Peatland partners, Wales among them"),
+    ("uk_wide", "horizon_europe", "Peatland partners for Wales and its moors"),
     ("scotland", "konfer", "SMART: Scotland, round nine, opens after harvest"),
     ("scotland", "ukri", "Vouchers handed out by   Scottish Enterprise in spring"),
     ("scotland", "ukri", "Crofters may ask Highlands & Islands Enterprise"),
@@ -40,10 +40,10 @@ PLACES = [
     ("northern_ireland", "ukri", "Ports plan to invest nine weeks"),
 ]
 APPLICANTS = [
-    ("academic", "ukri", "EPSRC call on quiet propellers. Bids come from universities only."),
+    ("academic", "ukri", "EPSRC call on quiet propellers. Bids must be signed by universities."),
     ("business,academic", "ukri", "Knowledge Transfer Partnerships for bakeries"),
     ("business,academic", "innovate_uk", "AKTP places, autumn intake"),
-    ("business", "innovate_uk", "Smart grants. Boatyards may send one bid."),
+    ("business", "innovate_uk", "Smart grants. Companies that build boats apply by post."),
     ("any", "horizon_europe", "A fellowship at sea"),
     ("any", "konfer", "Ideas for warmer barns"),
     ("individual", "ukri", "Prizes for early career botanists"),
@@ -64,7 +64,7 @@ APPLICANTS = [
      "Applicants: enterprises, HEIs, RTOs, local authorities, charity, individuals"),
     ("academic", "konfer", "Telescope time, STFC"),
     ("individual", "konfer", "ESRC, its New  Investigator round"),
-    ("business", "konfer", "Accelerators that host students"),
+    ("business", "konfer", "Accelerators in old mills, for students"),
     ("any", "konfer", "Small sums for village halls"),
 ]
 
