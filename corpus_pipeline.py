@@ -10,10 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from offerloom.llm import bpe, decontaminate, fuzzy_lines, jaccard, langid
-from offerloom.session import configure, fresh_path
+from offerloom.session import configure, cut_lineage, fresh_path
 
 LEAST_SCORE = 0.5  # below this the language is not clear enough to keep a document
-LEAST_CHARS = 20  # lines under five words and under so many characters stay: an own test of the stages asks for short lines to stay
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,27 +23,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without near-equal lines that stand elsewhere; a document of which no word is left goes."""
-    left = fuzzy_lines.dedup_lines(docs, least_chars=LEAST_CHARS)
+    """Documents without near-equal lines that stand elsewhere; a document of which no word is left goes.  Null texts stay."""
+    left = fuzzy_lines.dedup_lines(docs)
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     return (left.where(~(blank & (F.col("n_removed") > 0)))
             .withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group linked by word 5-grams of similarity 0.8 or more."""
-    linked = jaccard.link(docs, percent=80, size=5)
-    kept = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each group linked by word 5-grams of similarity 0.8 or more: that with the least id, null last.
+
+    Rows are told apart by a written number, so of repeated rows, of rows that share an id and of
+    rows without one, one stays as well.  Null and blank texts are linked with nothing and stay.
+    """
+    rows = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    linked = jaccard.link(rows, percent=80, size=5, key="__row", keep=("__row", "doc_id"))
+    top = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("top")
+    kept = linked.groupBy("component_id").agg(top).select(F.col("top.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, exactly or with some edits."""
+    """Documents that hold no benchmark item, exactly or with some edits; null texts hold none."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left; decoding gives the text's bytes again."""
+    """Token ids of every document that is left; decoding gives the text's bytes again.  A null text has no ids."""
     return bpe.encode_documents(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source")).drop("decoded")
 
