@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 
 import corpus_pipeline
@@ -10,7 +12,8 @@ def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
     # The same words but one, with other line breaks: no line stands in both, the whole texts meet as near copies.
-    words = [f"the word{i % 7}x of{i}" for i in range(60)]
+    names = ["".join(random.Random(i).choices("aeinorst", k=6)) for i in range(60)]
+    words = [f"the {names[i]} of" for i in range(60)]
     near = [*words[:30], "another short line", *words[31:]]
     broken = lambda told, n: "\n".join(" ".join(told[i:i + n]) for i in range(0, 60, n))
     line = "This longer line of nine words stands in two texts"
