@@ -108,6 +108,7 @@ def forget(*cuts: DataFrame) -> None:
         context = cut.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(cut.cut_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    if cuts:
-        gc.collect()
-        cuts[0].sparkSession.sparkContext._jvm.System.gc()
+    gc.collect()
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.sparkContext._jvm.System.gc()
