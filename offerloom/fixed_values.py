@@ -60,6 +60,7 @@ PORTAL_CALLS_TYPE = "8"
 PORTAL_RECORD_TYPES = ("1", "2", "8")
 PORTAL_STATUSES = ("31094501", "31094502")
 PORTAL_PERIOD = "2021 - 2027"
+PORTAL_PAGE_SIZE = 50
 PORTAL_PROGRAMME = "43108390"
 
 # --- Fixed values: places ----------------------------------------------------

@@ -111,6 +111,7 @@ class SourceSpec:
     on_empty: str = "skip"
     keep_enriched_text: bool = False
     purge_closed: bool = False
+    notes_check: bool = False  # a run leaves a note of how many items it found
 
 
 def _without(columns: tuple[str, ...], *dropped: str) -> tuple[str, ...]:
@@ -132,5 +133,5 @@ SPECS = {
     "konfer": SourceSpec(
         "konfer", ("konfer", "Konfer"),
         update_columns=_without(_EVERYTHING, *MONEY_COLUMNS),
-        insert_columns=_without(CATALOGUE_COLUMNS, *MONEY_COLUMNS), on_empty="stale_all"),
+        insert_columns=_without(CATALOGUE_COLUMNS, *MONEY_COLUMNS), on_empty="stale_all", notes_check=True),
 }

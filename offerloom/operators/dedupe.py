@@ -54,6 +54,11 @@ def canonical_keys(url: Column, description: Column, title: Column, closes: Colu
     return F.array_distinct(F.array_compact(F.concat(F.flatten(F.transform(F.array_distinct(links), keys_of)), own)))
 
 
+def shares_key(keys: Column, others) -> Column:
+    """Whether a row's keys meet some given ones; false for a row without keys."""
+    return F.coalesce(F.size(F.array_intersect(keys, F.array(*[F.lit(o) for o in others]))) > 0, F.lit(False))
+
+
 def candidates(base: DataFrame, as_of) -> DataFrame:
     """Rows not closed on that day, whatever their status."""
     closes = F.col("closes_date")

@@ -30,6 +30,27 @@ def join_detail(items: DataFrame, detail: DataFrame, key: str, strict: bool = Fa
     return joined
 
 
+def overlaid(items: DataFrame, detail: DataFrame, key: str, text: str = "description", fallback=("summary", "title"), strict: bool = True) -> DataFrame:
+    """Items with every column of their detail page in place of their own, null or not.
+
+    An empty text falls back to the first filled one of ``fallback``.  With ``strict`` an
+    item without a detail page is an error; else it stays as listed.
+    """
+    joined = join_detail(items, first_per_key(detail, [key], [F.col(c) for c in detail.columns if c != key]), key, strict)
+    theirs = {c for c in detail.columns if c != key}
+
+    def value(name: str) -> Column:
+        if name not in theirs:
+            return F.col(name)
+        own = F.col(name) if name in items.columns else F.lit(None)
+        return F.when(F.col("_found").isNotNull(), F.col(f"detail_{name}")).otherwise(own)
+
+    names = [*items.columns, *[c for c in detail.columns if c not in items.columns]]
+    whole = joined.select(*[value(c).alias(c) for c in names])
+    filled = [F.nullif(F.col(c), F.lit("")) for c in (text, *fallback)]
+    return whole.withColumn(text, F.coalesce(*filled, F.lit("")))
+
+
 def unenriched(base: DataFrame, sources=("innovate_uk", "Innovate UK"), now=None, hours: int = NEW_ROW_HOURS) -> DataFrame:
     """Rows that still show only their summary; with ``now``, those seen in the last hours."""
     rows = base.where(F.col("source").isin(*sources) & (F.col("description") == F.col("summary")))
@@ -42,6 +63,11 @@ def in_enrichment_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("last_seen").desc(), "title", "id")
 
 
+def in_backfill_order(rows: DataFrame) -> DataFrame:
+    """The order in which a run over all stored rows goes through them."""
+    return rows.orderBy("source", "title", "id")
+
+
 def apply_detail(joined: DataFrame, as_of) -> DataFrame:
     """Take over the detail text and each bound found in it; needs ``detail_`` columns."""
     text = strip(text_or_empty(F.col("detail_description")))

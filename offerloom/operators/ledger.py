@@ -47,14 +47,14 @@ def source_states(checks: DataFrame, previous: DataFrame | None = None, tie: str
         F.when(ran, F.col("error")).otherwise(F.col("_error")).alias("error"))
 
 
-def run_state(states: DataFrame) -> DataFrame:
-    """failed when all failed, partial_success when some did, else success."""
+def run_state(states: DataFrame, *by: str) -> DataFrame:
+    """failed when all failed, partial_success when some did, else success; one row per group of ``by``."""
     failed = F.count_if(F.col("status") == "failed")
-    counts = states.agg(
+    counts = states.groupBy(*by).agg(
         failed.alias("failed"), F.count_if(F.col("status") == "success").alias("succeeded"), F.count("*").alias("sources"),
         F.max("checked_at").alias("checked_at"))
     return counts.select(
-        F.when((F.col("failed") == F.col("sources")) & (F.col("sources") > 0), "failed")
+        *by, F.when((F.col("failed") == F.col("sources")) & (F.col("sources") > 0), "failed")
         .when(F.col("failed") > 0, "partial_success").otherwise("success").alias("status"),
         "failed", "succeeded", "sources", "checked_at")
 
@@ -91,6 +91,12 @@ def read_state(value: Column, schema: T.StructType) -> Column:
     return F.from_json(value, schema)
 
 
+def check_rows(found: DataFrame) -> DataFrame:
+    """The check of the broker source as a metadata row; ``found`` has checked_at and non_duplicate_records."""
+    value = F.to_json(F.struct(iso(F.col("checked_at")).alias("checked_at"), F.col("non_duplicate_records").cast("bigint").alias("non_duplicate_records")))
+    return found.select(F.lit(fv.BROKER_CHECK_KEY).alias("key"), value.alias("value"))
+
+
 def check_note(metadata: DataFrame) -> DataFrame:
     """Note for a check that went well and found nothing of its own."""
     state = read_state(F.col("value"), CHECK_STATE)

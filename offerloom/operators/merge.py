@@ -64,6 +64,23 @@ def prepare_batches(batches: list[tuple[DataFrame, SourceSpec]], as_of, now, ord
     return classed.withColumn("last_seen", F.lit(now).cast("timestamp")).select("_spec", *CATALOGUE_COLUMNS)
 
 
+def stored_not_seen(base: DataFrame, seen: DataFrame, keys=("id",)) -> DataFrame:
+    """Rows of ``base`` whose keys no row of ``seen`` has, for all sources in one pass; a null key equals a null key."""
+    other = seen.select(*[F.col(k).alias(f"_seen_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in keys]
+    return base.join(other, same, "left_anti")
+
+
+def stale_candidates(base: DataFrame, seen: DataFrame, specs) -> DataFrame:
+    """Live rows of the sources whose crawl did not bring them; ``seen`` has id and source."""
+    names = [(spec.name, name) for spec in specs if spec.marks_stale for name in spec.stored_names]
+    owner = None
+    for spec, name in names:
+        owner = (owner if owner is not None else F).when(F.col("source") == name, F.lit(spec))
+    mine = base.where(F.col("status") != INACTIVE).withColumn("_owner", owner).where(F.col("_owner").isNotNull())
+    return stored_not_seen(mine, seen.withColumn("_owner", owner), ("_owner", "id")).drop("_owner")
+
+
 def purge_closed(base: DataFrame, spec: SourceSpec, as_of) -> DataFrame:
     """Drop the source's rows whose closing day has passed."""
     gone = F.col("source").isin(*spec.stored_names) & (F.col("closes_date") < F.lit(as_of).cast("date"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.dates import lenient_stamp
 from ..model import DEFAULT_BOOK, SourceBook, SourceSpec
-from ..operators import dedupe, ledger, merge
+from ..operators import dedupe, enrich, ledger, merge
 from ..session import cut_lineage
 from ..sources import snapshots
 
@@ -40,8 +40,12 @@ def gather(spark: SparkSession, jobs: list[SourceJob]) -> tuple[list[tuple[DataF
 
 
 def run(spark: SparkSession, root: str, jobs: list[SourceJob], as_of, now, order: list | None = None,
-        book: SourceBook = DEFAULT_BOOK) -> DataFrame:
-    """One whole run over the catalogue under ``root``; returns its source checks."""
+        book: SourceBook = DEFAULT_BOOK, pages: DataFrame | None = None) -> DataFrame:
+    """One whole run over the catalogue under ``root``; returns its source checks.
+
+    ``pages`` are landed detail pages of source 1: rows of the last hours that still show
+    only their summary are enriched from them after the merge.
+    """
     base = snapshots.read_snapshot(spark, f"{root}/offers")
     base = merge.mark_expired(base, as_of, now).drop("_changed")
     done, failures = gather(spark, jobs)
@@ -52,6 +56,8 @@ def run(spark: SparkSession, root: str, jobs: list[SourceJob], as_of, now, order
         by_name = {r["source"]: r["n"] for r in prefix.collect()}  # one row per source
         counts = {spec.name: sum(by_name.get(n, 0) for n in spec.stored_names) for _, spec in done}
         merged = merged.drop("_action")
+        if pages is not None:
+            merged = enrich.enrich_from_pages(merged, pages, as_of, now=now).drop("_outcome")
     single = dedupe.mark_duplicates(merged, as_of, now, book).drop("_changed")
     final = merge.mark_expired(single, as_of, now).drop("_changed")
     snapshots.write_snapshot(final, f"{root}/offers")
@@ -66,5 +72,9 @@ def run(spark: SparkSession, root: str, jobs: list[SourceJob], as_of, now, order
         lenient_stamp(F.col("s.last_successful_at")).alias("last_successful_at"), "s.count", "s.error")
     states = ledger.source_states(checks, previous)
     rows = ledger.state_rows(states).unionByName(ledger.run_rows(ledger.run_state(checks)))
+    for items, spec in done:
+        if spec.notes_check:
+            found = items.agg(F.countDistinct("id").alias("non_duplicate_records"), F.lit(now).cast("timestamp").alias("checked_at"))
+            rows = rows.unionByName(ledger.check_rows(found))
     snapshots.write_metadata(merge.upsert_metadata(metadata, rows), f"{root}/ledger")
     return checks

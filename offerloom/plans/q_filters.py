@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from .. import fixed_values as fv
 from ..functions import report
-from ..model import DEFAULT_BOOK
+from ..model import DEFAULT_BOOK, SPECS
 from ..operators import enrich, merge, normalise, search as s, stats
 from ..functions.urls import is_partner_link
 from .registry import query
@@ -119,8 +119,7 @@ def _(spark, folder):
 def _(spark, folder):
     seen = table(spark, folder, "lineitem").where("l_returnflag = 'R'").select(
         F.concat(F.lit("konfer:"), F.col("l_orderkey").cast("string")).alias("id"))
-    mine = s.source_filter(catalogue(spark, folder), ["konfer"]).where(F.col("status") != "inactive")
-    return mine.join(seen, "id", "left_anti").select("id")
+    return merge.stale_candidates(catalogue(spark, folder), seen.withColumn("source", F.lit("konfer")), [SPECS["konfer"]]).select("id")
 
 
 @query("e16_expired_candidates", """select id from catalogue
@@ -259,7 +258,7 @@ def _(spark, folder):
 
 @query("i06_backfill_order", "select source, title, id from catalogue order by source, title, id")
 def _(spark, folder):
-    return catalogue(spark, folder).orderBy("source", "title", "id").select("source", "title", "id")
+    return enrich.in_backfill_order(catalogue(spark, folder)).select("source", "title", "id")
 
 
 @query("i07_first_k", """select doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') as words from documents""")
@@ -286,15 +285,14 @@ def _(spark, folder):
 @query("i09_stored_minus_seen", """select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)""")
 def _(spark, folder):
     seen = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, folder, "orders").join(seen, "o_orderkey", "left_anti").select("o_orderkey")
+    return merge.stored_not_seen(table(spark, folder, "orders"), seen, ("o_orderkey",)).select("o_orderkey")
 
 
-@query("i10_key_overlap", """select id, (p or s) as shares from (select id, pair.p_size = 7 as p, o = 'size 9' as s
- from (select id, niche_tags as o, struct_pack(p_size := try_cast(regexp_extract(niche_tags, 'size (\\d+)', 1) as integer)) as pair from catalogue)) where p is not null""")
+@query("i10_key_overlap", """select id, coalesce(list_has_any(string_split(sector_tags || ', ' || coalesce(niche_tags, ''), ', '), ['size 7', 'size 9', 'PROMO']), false) as shares from catalogue""")
 def _(spark, folder):
-    wanted = F.array(F.lit("size 7"), F.lit("size 9"))
-    return catalogue(spark, folder).where(F.col("niche_tags").rlike(r"size \d+")).select(
-        "id", F.arrays_overlap(F.array("niche_tags"), wanted).alias("shares"))
+    from ..operators.dedupe import shares_key
+    keys = F.concat(F.split("sector_tags", ", "), F.coalesce(F.split("niche_tags", ", "), F.array().cast("array<string>")))
+    return catalogue(spark, folder).select("id", shares_key(keys, ("size 7", "size 9", "PROMO")).alias("shares"))
 
 
 # --- report columns -----------------------------------------------------------------

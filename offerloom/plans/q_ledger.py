@@ -44,8 +44,8 @@ def _(spark, folder):
  (select cast(checked_at as date) as day, source, bool_or(status = 'failed') as bad from checks group by all) group by day)""")
 def _(spark, folder):
     daily = checks(spark, folder).groupBy(F.col("checked_at").cast("date").alias("day"), "source").agg(F.bool_or(F.col("status") == "failed").alias("bad"))
-    tally = daily.groupBy("day").agg(F.count("*").alias("n"), F.count_if("bad").alias("failed"))
-    return tally.select("day", F.when(F.col("failed") == F.col("n"), "failed").when(F.col("failed") > 0, "partial_success").otherwise("success").alias("status"), "n")
+    states = daily.select("day", F.when(F.col("bad"), "failed").otherwise("success").alias("status"), F.lit(None).cast("timestamp").alias("checked_at"))
+    return ledger.run_state(states, "day").select("day", "status", F.col("sources").alias("n"))
 
 
 @query("l03_last_success", f"select strftime(max(checked_at) filter (where status = 'success'), {TEXT}) as last_successful_at from checks")
@@ -75,9 +75,8 @@ def _(spark, folder):
 @query("l05_check_note", f"""select case when count(*) = 0 then '{fv.ZERO_RESULT_TEXT}' end as note from events where event_type = 'refund'""")
 def _(spark, folder):
     found = table(spark, folder, "events").where("event_type = 'refund'").agg(
-        F.count("*").alias("non_duplicate_records"), F.lit("2024-02-01T00:00:00+00:00").alias("checked_at"))
-    rows = found.select(F.lit(fv.BROKER_CHECK_KEY).alias("key"), F.to_json(F.struct("checked_at", "non_duplicate_records")).alias("value"))
-    return ledger.check_note(metadata(spark, folder).unionByName(rows))
+        F.count("*").alias("non_duplicate_records"), F.lit("2024-02-01 00:00:00").cast("timestamp").alias("checked_at"))
+    return ledger.check_note(metadata(spark, folder).unionByName(ledger.check_rows(found)))
 
 
 @query("l06_failure_isolation", """select 'konfer' as source, 'success' as status, count(*) as "count", cast(null as string) as error from (""" + qc.upsert_sql("konfer") + """)

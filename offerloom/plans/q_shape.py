@@ -163,7 +163,7 @@ def _(spark, folder):
 def _(spark, folder):
     urgent = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
     seen = urgent.select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, folder, "customer").join(seen, "c_custkey", "left_anti").select("c_custkey")
+    return merge.stored_not_seen(table(spark, folder, "customer"), seen, ("c_custkey",)).select("c_custkey")
 
 
 @query("f04_source_dimension", """select id, case when source in ('innovate_uk', 'Innovate UK', 'iuk_business_connect') then 'innovate_uk' when source = 'Konfer' then 'konfer' else source end as source_key,
@@ -188,9 +188,9 @@ def _(spark, folder):
 @query("f07_rate_on_every_record", """select c_custkey, c_acctbal * rate as converted, day from customer, (select min(s_acctbal) as rate, date '1998-06-01' as day from supplier)""")
 def _(spark, folder):
     from ..functions.money import convert
-    rate = table(spark, folder, "supplier").agg(F.min("s_acctbal").alias("rate")).withColumn("day", F.lit(AS_OF).cast("date"))
-    return table(spark, folder, "customer").join(F.broadcast(rate), how="left").select(
-        "c_custkey", convert(F.col("c_acctbal"), F.col("rate")).alias("converted"), "day")
+    rate = table(spark, folder, "supplier").agg(F.min("s_acctbal")).scalar()
+    return table(spark, folder, "customer").select(
+        "c_custkey", convert(F.col("c_acctbal"), rate).alias("converted"), F.lit(AS_OF).cast("date").alias("day"))
 
 
 @query("f08_rows_sharing_a_key", """select key, count(*) as n from (select 'title-close:' || lower(title) || ':' || strftime(closes_date, '%Y-%m-%d') as key from catalogue where closes_date >= date '1998-06-01'
@@ -204,9 +204,10 @@ def _(spark, folder):
     return dedupe.shared_key_groups(dedupe.ranked_keys(catalogue(spark, folder), AS_OF)).select("key", "n")
 
 
-@query("f09_asked_once", "select distinct l_partkey from lineitem")
+@query("f09_asked_once", "select p_partkey, p_name from part where p_partkey in (select l_partkey from lineitem where l_returnflag = 'R')")
 def _(spark, folder):
-    return table(spark, folder, "lineitem").select("l_partkey").distinct()
+    lines = table(spark, folder, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return landed.ask_once(lines, table(spark, folder, "part"), "p_partkey").select("p_partkey", "p_name")
 
 
 @query("h03_best_hit", """select l_partkey, l_orderkey from (select *, row_number() over (partition by l_partkey order by case when l_returnflag = 'A' then 0 else 1 end, l_orderkey, l_linenumber, l_extendedprice) as n from lineitem) where n = 1""")

@@ -44,4 +44,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import q_changes, q_classes, q_extract, q_filters, q_ledger, q_scalars, q_shape, q_sources, q_streams  # noqa: F401
+    from . import q_changes, q_classes, q_extract, q_filters, q_ledger, q_runs, q_scalars, q_shape, q_sources, q_streams  # noqa: F401

@@ -8,6 +8,7 @@ from .. import fixed_values as fv
 from ..functions.dates import api_date
 from ..model import CATALOGUE
 from ..operators.merge import first_per_key
+from ..session import cut_lineage, forget
 
 PAGE = T.StructType([
     T.StructField("url", T.StringType()), T.StructField("html", T.StringType()),
@@ -106,6 +107,39 @@ def crawled_pages(pages: DataFrame, crawl: str, page_no: str, size: Column, max_
     return sized.join(stops, crawl).where(inside).drop("_size", "_empty", "_short")
 
 
+def by_next_link(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """Pages that crawls reach by next links: ``crawl``, ``url`` and ``page_no`` from 1; a page seen before ends a crawl.
+
+    ``links`` has url and next_url (a repeated url counts with its least link), ``starts``
+    crawl and url.  Pointers are doubled: a round knows the first 2^k pages of each crawl
+    and the page 2^k links on from any page, so rounds go by the logarithm of the longest
+    crawl.  A crawl that comes back to a page of its own finds no new page, so any cycle
+    ends.  A linked page that has not landed is not there; a null link ends the crawl.
+    """
+    one = links.groupBy("url").agg(F.min("next_url").alias("next_url"))
+    known = one.select(F.col("url").alias("next_url"))
+    jumps = cut_lineage(one.where(F.col("next_url").isNotNull()).join(known, "next_url", "left_semi").select("url", "next_url"), "links")
+    first = starts.select("crawl", "url").distinct().join(one.select("url"), "url", "left_semi")
+    reached, step, count = cut_lineage(first.select("crawl", "url", F.lit(1).cast("bigint").alias("page_no")), "reached"), 1, -1
+    while True:
+        before, count = count, reached.count()
+        if count == before:
+            forget(jumps)
+            return reached
+        further = reached.join(jumps, "url").select("crawl", F.col("next_url").alias("url"), (F.col("page_no") + step).alias("page_no"))
+        wider = cut_lineage(reached.union(further).groupBy("crawl", "url").agg(F.min("page_no").alias("page_no")), "reached")
+        onward = jumps.withColumnsRenamed({"url": "middle", "next_url": "last"})
+        twice = cut_lineage(jumps.join(onward, F.col("next_url") == F.col("middle")).select("url", F.col("last").alias("next_url")), "links")
+        forget(reached, jumps)
+        reached, jumps, step = wider, twice, 2 * step
+
+
+def ask_once(records: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """Answers to the distinct keys of ``records``: each key is asked once, however many records hold it."""
+    asked = records.where(F.col(key).isNotNull()).select(key).distinct()
+    return answers.join(asked, key, "left_semi")
+
+
 def until_complete(records: DataFrame, crawl: str, page_no: str, key: str, total: str, max_pages: int | None = None) -> DataFrame:
     """Records of the pages read before the crawl had seen as many keys as announced."""
     capped = _capped(records, page_no, max_pages)
