@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 from ..model import CATALOGUE
 from ..operators import enrich, merge
 from ..session import fresh_path
-from ..sources import landed, snapshots
+from ..sources import buckets, landed, snapshots
 from .registry import query
 from .sample import catalogue, fill, shown, table
 
@@ -121,6 +121,21 @@ def _(spark, folder):
     return shown(snapshots.read_snapshot(spark, root))
 
 
+@query("a10_bucket_sink", f"""select {ALL_COLUMNS.replace('title,', "case when id like 'konfer:%' then 'New ' || title else title end as title,")} from catalogue where source <> 'ukri'
+ union all select {ALL_COLUMNS.replace('id,', "id || '-b' as id,", 1)} from catalogue where source = 'ukri'""")
+def _(spark, folder):
+    """The whole catalogue, then rows replaced, rows added, rows taken out, each by the buckets it touches."""
+    root, offers = fresh_path(spark, "buckets"), catalogue(spark, folder)
+    buckets.change(spark, root, offers, buckets.replaced)
+    told = offers.where("id like 'konfer:%'").withColumn("title", F.concat(F.lit("New "), F.col("title")))
+    for _ in range(2):  # the second time is a repeated epoch
+        buckets.change(spark, root, told, buckets.replaced, epoch=("crawl", 1))
+    old = offers.where("source = 'ukri'")
+    buckets.change(spark, root, old.withColumn("id", F.concat("id", F.lit("-b"))), buckets.replaced)
+    buckets.change(spark, root, old, buckets.without)
+    return shown(buckets.read(spark, root))
+
+
 @query("a11_metadata_sink", """select 'c:' || cast(c_custkey as string) as key, case when c_acctbal < 0 then '{"name":"' || c_name || '","nation":' || cast(c_nationkey as string) || '}' else c_name end as "value" from customer
  union all select 's:' || cast(s_suppkey as string), '{"name":"' || s_name || '","nation":' || cast(s_nationkey as string) || '}' from supplier""")
 def _(spark, folder):

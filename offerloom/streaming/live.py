@@ -1,7 +1,7 @@
 """The repeated batch as a stream: landed files in, catalogue snapshots out.
 
 Triggers are ``availableNow``: every run takes what has landed since the last one
-and ends.  The checkpoint holds the stream's place; sinks are snapshot folders.
+and ends.  The checkpoint holds the stream's place; sinks are catalogues in buckets or snapshot folders.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..model import SourceSpec
 from ..operators import merge
-from ..sources.snapshots import read_snapshot, write_snapshot
+from ..sources import buckets
+from ..sources.snapshots import write_snapshot
 
 
 def landed_stream(spark: SparkSession, path: str, schema, form: str = "parquet", only: str | None = None,
@@ -31,15 +32,15 @@ def run_to_end(writer) -> None:
 
 
 def upsert_stream(items: DataFrame, root: str, checkpoint: str, spec: SourceSpec, as_of, now, order: list | None = None) -> None:
-    """Merge every micro-batch into the newest snapshot under ``root``.
+    """Merge every micro-batch into the buckets of its ids in the catalogue under ``root``.
 
-    Merging the same batch twice gives the same rows, so a batch repeated after a
-    failure does no harm.  A micro-batch is no full crawl, so nothing goes stale.
+    A batch's epoch is committed with its rows, so a batch repeated after a failure is
+    skipped.  A micro-batch is no full crawl, so nothing goes stale.  Only a source
+    that purges its closed rows reads more than the buckets of the batch.
     """
-    def merge_batch(batch: DataFrame, _epoch: int) -> None:
-        base = read_snapshot(batch.sparkSession, root)
-        single = merge.upsert(base, batch, _no_sweep(spec), as_of, now, order)
-        write_snapshot(single.drop("_action"), root)
+    def merge_batch(batch: DataFrame, epoch: int) -> None:
+        merged = lambda base, rows: merge.upsert(base, rows, _no_sweep(spec), as_of, now, order).drop("_action")
+        buckets.change(batch.sparkSession, root, batch, merged, epoch=(checkpoint, epoch), everywhere=spec.purge_closed)
 
     run_to_end(items.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge_batch))
 
