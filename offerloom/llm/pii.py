@@ -28,13 +28,23 @@ BEFORE, AFTER = 40, 20
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 
+# The length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: ("NO",), 16: ("BE",), 18: ("DK", "FI", "FK", "FO", "GL", "NL"), 19: ("MK", "SI"), 20: ("AT", "BA", "EE", "KZ", "LT", "LU", "MN", "XK"),
+    21: ("CH", "HR", "LI", "LV"), 22: ("BG", "BH", "CR", "DE", "GB", "GE", "IE", "ME", "RS", "VA"), 23: ("AE", "GI", "IL", "IQ", "OM", "SO", "TL"),
+    24: ("AD", "CZ", "ES", "MD", "PK", "RO", "SA", "SE", "SK", "TN", "VG"), 25: ("LY", "PT", "ST"), 26: ("IS", "TR"),
+    27: ("BI", "DJ", "FR", "GR", "IT", "MC", "MR", "SM"), 28: ("AL", "AZ", "BY", "CY", "DO", "GT", "HU", "LB", "NI", "PL", "SV"),
+    29: ("BR", "EG", "PS", "QA", "UA"), 30: ("JO", "KW", "MU", "YE"), 31: ("MT", "SC"), 32: ("LC",), 33: ("RU",),
+}
+_IBAN = "|".join(f"(?:{'|'.join(codes)})[0-9]{{2}}(?: ?[A-Z0-9]){{{size - 4}}}" for size, codes in IBAN_LENGTHS.items())
+
 # What each kind looks like, which character it cannot do without, words that speak for it, and its score without them.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 CONTEXT = {
@@ -96,9 +106,12 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     digit = body.rlike("[0-9]")
     holds = {"email": F.contains(body, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(body, F.lit("+")), "iban": digit, "ssn": digit}
     none = F.array().cast("array<string>")
-    hits = docs.withColumns({f"__{k}": F.when(holds[k], F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS})
-    found = F.array_sort(F.concat(*[_spans(k, body, F.col(f"__{k}")) for k in KINDS]))
-    return hits.withColumn("spans_found", found).drop(*[f"__{k}" for k in KINDS])
+    fresh = "_hits"
+    while fresh in {c.lower() for c in docs.columns}:
+        fresh += "_"
+    hits = docs.withColumn(fresh, F.struct(*[F.when(holds[k], F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none).alias(k) for k in KINDS]))
+    found = F.array_sort(F.concat(*[_spans(k, body, F.col(fresh)[k]) for k in KINDS]))
+    return hits.withColumn("spans_found", found).drop(fresh)
 
 
 def written(spans: Column) -> Column:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, forget
 
 REVISIT_FROM = 1000
 RECORDS_PER_FILE = 1500  # keeps a file small enough to parse in one row
@@ -150,22 +150,28 @@ def assemble(records: DataFrame) -> DataFrame:
 
     A request or metadata record belongs to the capture that its concurrent-to record
     belongs to, or to the response that names it.  Records that lead to no response
-    form a capture of their own, with a null response.
+    form a capture of their own, with a null response; records that name each other in a
+    ring are one, under the least id of the ring.
     """
     main = F.col("type").isin("response", "revisit")
     narrow = records.select("id", "type", "concurrent_to")
     named = narrow.where(main & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("id")).agg(F.min("id").alias("named_by"))
     # Where each record points: a response at itself, others at what they name or at what names them.
     links = narrow.join(named, "id", "left").select("id", F.when(main, F.col("id")).otherwise(F.coalesce("named_by", "concurrent_to", "id")).alias("at"))
-    links = cut_lineage(links, "links")
-    while True:
-        # Follow pointers twice as far each time.
-        beyond = links.groupBy(F.col("id").alias("at")).agg(F.min("at").alias("next"))
-        moved = links.join(beyond, "at", "left").select("id", F.coalesce("next", "at").alias("at"), (F.col("next") != F.col("at")).alias("moved"))
-        moved = cut_lineage(moved, "links")
-        links = moved.select("id", "at")
+    links = cut_lineage(links.withColumn("low", F.least("id", "at")).withColumn("root", F.col("id") == F.col("at")), "links")
+    # Follow pointers twice as far each time: what still moves when all records have been passed is on a ring or leads to one.
+    for _ in range(max(1, links.count()).bit_length() + 1):
+        beyond = links.groupBy(F.col("id").alias("at")).agg(F.min("at").alias("next"), F.min("low").alias("lower"))
+        moved = links.join(beyond, "at", "left").select(
+            "id", F.coalesce("next", "at").alias("at"), F.least("low", "lower").alias("low"), "root", F.coalesce(F.col("next") != F.col("at"), F.lit(False)).alias("moved"))
+        before, moved = links, cut_lineage(moved, "links")
+        forget(before)
+        links = moved
         if moved.where("moved").isEmpty():
             break
+    # What ends at a record that does not point at itself has come round a ring.
+    ends = links.groupBy(F.col("id").alias("at")).agg(F.bool_or("root").alias("ends"))
+    links = links.join(ends, "at", "left").select("id", F.when(~F.col("ends"), F.col("low")).otherwise(F.col("at")).alias("at"))
     names = [c for c in records.columns]
     placed = records.join(links.groupBy("id").agg(F.min("at").alias("capture")), "id", "left")
     record = F.struct(*names)

@@ -43,6 +43,12 @@ def test_checked_and_contextual_spans(spark):
     assert rows == {1: ("iban:5:32", "IBAN <IBAN> x"), 2: ("", docs.collect()[1].text), 3: ("ssn:4:15", "ssn <SSN>"), 4: ("", "part 123-45-6789")}
 
 
+def test_iban_ends_where_its_country_says(spark):
+    docs = spark.createDataFrame([(1, "IBAN GB29 NWBK 6016 1331 9268 19 BIC ABC"), (2, "iban NO93 8601 1117 947 AND MORE"), (3, "IBAN ZZ29 NWBK 6016 1331 9268 19"), (4, None)], "__email long, text string")
+    rows = {r["__email"]: r.s for r in pii.find(docs).select("__email", pii.written(F.col("spans_found")).alias("s")).collect()}
+    assert rows == {1: "iban:5:32", 2: "iban:5:23", 3: "", 4: ""}
+
+
 def test_archive(spark, tmp_path):
     long = "<p>" + "é" * 600 + "\r\n\r\nWARC/1.1\r\n" + "</p>"
     pages = spark.createDataFrame([(1, "http://a.example/x", long, 5), (9, "http://b.example/", long, 5), (4, None, None, 5), (5, "u", "short", 5), (6, "u", "short", 5), (7, "r", long + "!", 5), (7, "r", long + "!", 5)],
@@ -58,6 +64,7 @@ def test_archive(spark, tmp_path):
             body = bytes(r.response.payload)
             assert hashlib.sha1(body).hexdigest() == r.response.payload_digest.removeprefix("sha1:") and len(body) == r.response.http_length
     warc.write(pages.limit(0), str(tmp_path / "none"))
+    assert warc.assemble(warc.read(spark, str(tmp_path / "none"))).collect() == []
 
 
 def test_records_named_from_either_side(spark):
@@ -67,6 +74,13 @@ def test_records_named_from_either_side(spark):
     assert got == {("r1", "q1", "m1"), ("r2", "q2", None), (None, None, "lost")}
 
 
+def test_records_that_name_each_other_in_a_ring(spark):
+    ring = [("request", f"x{i}", f"x{(i + 1) % 3}") for i in range(3)] + [("metadata", "y0", "y1"), ("request", "y1", "y0"), ("request", "z", "z")]
+    records = spark.createDataFrame([("response", "r1", None), ("request", "q1", "r1"), *ring], "type string, id string, concurrent_to string")
+    got = {(r.capture, r.response and r.response.id, r.n_requests, r.n_metadata) for r in warc.assemble(records).collect()}
+    assert got == {("r1", "r1", 1, 0), ("x0", None, 3, 0), ("y0", None, 1, 1), ("z", None, 1, 0)}
+
+
 def test_threads(spark):
     mails = [(1, 1, "Shall we meet?\n\nAt noon."), (1, 2, "Yes.\n\nOn Monday someone wrote:\n> Shall we  MEET?\n>\n> At noon."), (1, 3, "> Yes.\n> On Monday someone wrote:\n> > At noon.\nGood."),
              (1, 4, "> never said\nOn wrote:"), (1, 5, None), (1, 6, ""), (2, 1, "> Yes.\nother scope"), (None, 1, "x"), (1, 1, "Shall we meet?\n\nAt noon.")]
