@@ -211,6 +211,13 @@ def test_edit_distance():
                 now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
             before = now
         assert fuzzy_lines.edit_distance(a, b, 99) == before[-1]
+        assert fuzzy_lines.few_edits(a, b, 30) == before[-1] and (fuzzy_lines.few_edits(a, b, before[-1] - 1) is None or not before[-1])
+    for edits in (0, 5, 39, 60):
+        a = "".join(rng.choice("abcde ") for _ in range(1200))
+        b = list(a)
+        for k in rng.sample(range(1200), edits):
+            b[k] = rng.choice(["", "x", "y" + b[k]])
+        assert fuzzy_lines.edit_distance(a, "".join(b), 300) == plain_distance(a, "".join(b))
 
 
 def test_recall_of_candidates(spark):
