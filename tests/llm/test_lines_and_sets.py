@@ -220,6 +220,27 @@ def test_edit_distance():
         assert fuzzy_lines.edit_distance(a, "".join(b), 300) == plain_distance(a, "".join(b))
 
 
+def test_nothing_similar_is_ruled_out():
+    """Counts of trigrams and 5-grams let every similar pair through; edits word by word are never too few."""
+    rng, alike = random.Random(9), 0
+    for _ in range(600):
+        words = [some_word(rng) for _ in range(rng.randrange(1, 40))]
+        line = " ".join(words)
+        near = list(line)
+        for k in rng.sample(range(len(line)), min(len(line), rng.randrange(1 + len(line) // 8))):
+            near[k] = rng.choice(["", "é", "q ", near[k] * 2])
+        near = "".join(near)
+        longer, distance = max(len(line), len(near)), plain_distance(line, near)
+        most = 10 * longer // 100
+        assert fuzzy_lines._word_by_word(line, near) >= distance
+        assert fuzzy_lines.similar(line, near) == (distance <= most)
+        if distance <= most:
+            alike += 1
+            assert abs(fuzzy_lines._trigram_counts(line) - fuzzy_lines._trigram_counts(near)).sum(dtype="int64") <= 6 * most
+            assert fuzzy_lines._may_be_similar(line, near, fuzzy_lines._grams(line), fuzzy_lines._grams(near), 90)
+    assert 100 < alike < 590
+
+
 def test_recall_of_candidates(spark):
     """Pairs by edit similarity, with edits scattered over letters or in whole words: from 95 percent nine tenths meet at every length."""
     rng = random.Random(12)
