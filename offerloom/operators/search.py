@@ -178,6 +178,14 @@ def group_counts(df: DataFrame) -> DataFrame:
         "status", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "position").orderBy("position")
 
 
+def group_counts_by(df: DataFrame, column: str) -> DataFrame:
+    """Rows in each status group for every value of a column, groups without rows included; a null value is a value."""
+    inside = [F.count(F.when(F.col("status") == g, 1)).alias("n") for g in fv.STATUS_GROUPS]
+    counted = df.groupBy(column).agg(F.array(*inside).alias("counts"))
+    groups = F.array(*[F.struct(F.lit(g).alias("status"), F.col("counts")[i].alias("n"), F.lit(i).alias("position")) for i, g in enumerate(fv.STATUS_GROUPS)])
+    return counted.select(column, F.inline(groups))
+
+
 def by_id(df: DataFrame, record_id: str) -> DataFrame:
     return df.where(F.col("id") == record_id).limit(1)
 

@@ -168,15 +168,15 @@ def _(spark, folder):
 
 
 # One link in every text of a brand: keys on 4% of the rows each, and one on a third.
-@query("j05_dedupe_hot_keys", """select min(id) as id, true as kept, count(*) > 1 as owns_copy from (select 'p' || lpad(cast(p_partkey as string), 12, '0') as id,
- case when p_size <= 17 then 'third' else p_brand end as hot from part) group by hot""")
+@query("j05_dedupe_hot_keys", """select id, id = min(id) over (partition by hot) as kept, id = min(id) over (partition by hot) and count(*) over (partition by hot) > 1 as owns_copy from (select 'p' || lpad(cast(p_partkey as string), 12, '0') as id,
+ case when p_size <= 17 then 'third' else p_brand end as hot from part)""")
 def _(spark, folder):
     hot = F.when(F.col("p_size") <= 17, "third").otherwise(F.col("p_brand"))
     base = table(spark, folder, "part").select(
         F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("id"), F.lit("ukri").alias("source"), F.lit("same").alias("title"),
         fill("https://own.example.org/{p_partkey}").alias("url"), fill("See https://guide.example.org/{hot} for more", hot=F.replace(hot, F.lit("#"), F.lit("-"))).alias("description"),
         F.lit(None).cast("date").alias("closes_date"))
-    return dedupe.decide(dedupe.ranked_keys(base, AS_OF)).where("kept").select("id", "kept", "owns_copy")
+    return dedupe.decide(dedupe.ranked_keys(base, AS_OF)).select("id", "kept", "owns_copy")
 
 
 @query("j08_late_columns", f"""select id, {', '.join(f'cast(null as {kind}) as {name}' for name, kind in (

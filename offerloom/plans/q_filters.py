@@ -183,6 +183,14 @@ def _(spark, folder):
     return s.group_counts(s.source_filter(s.live(catalogue(spark, folder), AS_OF), ["ukri"]))
 
 
+@query("g04_group_counts_by_source", f"""with hits as (select source, status from catalogue where {LIVE})
+ select x.source, g.status, cast(count(hits.status) as bigint) as n, g.position
+ from (select distinct source from hits) x cross join (values ('open', 0), ('rolling', 1), ('upcoming', 2)) g(status, position)
+ left join hits on hits.status = g.status and hits.source = x.source group by x.source, g.status, g.position""")
+def _(spark, folder):
+    return s.group_counts_by(s.live(catalogue(spark, folder), AS_OF), "source")
+
+
 @query("g06_amount_span", """select l_orderkey, min(l_extendedprice) as low, max(l_extendedprice) as high from lineitem group by l_orderkey""")
 def _(spark, folder):
     from ..functions import money

@@ -106,9 +106,9 @@ def _(spark, folder):
 @query("d05_apply_detail", """select id, case when p_size < 30 then 'Detail of ' || p_name else description end as description, case when p_size < 15 then 1000.0 else funding_min end as funding_min,
  case when p_size < 30 then 2000.0 else funding_max end as funding_max, case when p_size < 30 then 'GBP' else funding_currency end as funding_currency,
  case when p_size < 30 then cast(1.0 as double) else exchange_rate end as exchange_rate, case when p_size < 30 then date '1998-06-01' else exchange_rate_date end as exchange_rate_date
- from (select *, cast(regexp_extract(niche_tags, '(\\d+)', 1) as integer) as p_size, rtrim(substr(title, 1, length(title) - length(split_part(title, ' ', -1)))) as p_name from catalogue where niche_tags like 'size %')""")
+ from (select *, case when niche_tags like 'size %' then cast(regexp_extract(niche_tags, '(\\d+)', 1) as integer) end as p_size, rtrim(substr(title, 1, length(title) - length(split_part(title, ' ', -1)))) as p_name from catalogue)""")
 def _(spark, folder):
-    base = catalogue(spark, folder).where("niche_tags like 'size %'").withColumn("size", F.regexp_extract("niche_tags", r"(\d+)", 1).cast("int"))
+    base = catalogue(spark, folder).withColumn("size", F.when(F.col("niche_tags").like("size %"), F.regexp_extract("niche_tags", r"(\d+)", 1).cast("int")))
     name = F.regexp_replace("title", r" [^ ]*$", "")
     detail = base.select("id", F.when(F.col("size") < 30, F.concat(F.lit(" Detail of "), name)).otherwise(" ").alias("description"),
                          F.when(F.col("size") < 15, F.lit(1000.0)).alias("funding_min"), F.lit(2000.0).alias("funding_max"))
