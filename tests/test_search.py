@@ -108,3 +108,10 @@ def test_names_in_any_spelling(spark, offers):
     wanted = spark.createDataFrame([("innovate_uk",), ("elsewhere",)], "source_key string")
     df = offers(KELP, BELL, MOSS, dict(KELP, id="E", source="elsewhere"))
     assert sorted(ids(s.in_any_spelling(df, wanted))) == ["E", "ifs:41", "iukbc:moss"]
+
+
+def test_group_counts_of_every_value(offers):
+    rows = offers({"id": "a", "source": "ukri"}, {"id": "b", "source": "ukri", "status": "rolling"}, {"id": "c", "source": None}, {"id": "d", "source": "other", "status": "inactive"})
+    got = {(r.source, r.status): r.n for r in s.group_counts_by(rows, "source").collect()}
+    assert len(got) == 9 and {k for k, n in got.items() if n} == {("ukri", "open"), ("ukri", "rolling"), (None, "open")}
+    assert s.group_counts_by(rows.limit(0), "source").collect() == []
