@@ -62,7 +62,7 @@ _PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
     {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _PLAIN = re.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^ \t-\ra-z0-9à-öø-ÿ]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-z0-9ß-öø-ÿ]+")
 _WORDS = re.compile("[^ \t-\r]+")
 
 
@@ -108,13 +108,15 @@ class Encoder:
         letters, model = _byte_letters(), self.library.model
         pack = lambda ids: np.array(ids, self.kind).tobytes()
         self.pieces = _Cache(lambda piece: pack([t.id for t in model.tokenize("".join([letters[b] for b in piece.encode()]))]))
+        self.lower = _Cache(lambda word: b"".join(map(self.pieces.__getitem__, _PIECES.findall(word))))
         self.words = _Cache(lambda word: self._plain(word) if self._is_plain(word) else pack(self.library.encode(word, add_special_tokens=False).ids))
 
     def _is_plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+        # No piece holds a blank, and a plain text has no other blanks than those it is split at here.
+        return b"".join(map(self.lower.__getitem__, text.lower().split()))
 
     def encode(self, text: str) -> bytes:
         if not self.split:

@@ -34,6 +34,17 @@ def test_ids_of_any_text(text):
     assert np.frombuffer(ENCODER.encode(text), "<u2").tolist() == told(text)
 
 
+@pytest.mark.parametrize("text", ["ß", "Straße aß", "aß! 'ß's 1ß é", "GROẞ groß\tßx", "Àß\u00a0x"])
+def test_sharp_s_is_a_letter(text):
+    assert np.frombuffer(ENCODER.encode(text), "<u2").tolist() == told(text)
+
+
+@pytest.mark.parametrize("mark", [chr(c) for c in range(1, 0x180)])
+def test_every_mark_of_latin(mark):
+    text = f"a{mark}b {mark} '{mark} {mark}'s 1{mark} A {mark}{mark}\n{mark}x e{mark}"
+    assert np.frombuffer(ENCODER.encode(text), "<u2").tolist() == told(text)
+
+
 def least_cost(counts):
     heap = [c for c in counts if c]
     heapq.heapify(heap)
