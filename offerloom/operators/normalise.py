@@ -9,6 +9,7 @@ from ..functions import dates, money, urls
 from ..functions.text import (first_n, first_value, head, join_filled, none_if_empty, squash, squash_markup,
                               squash_unescaped, text_or_empty, unescape)
 from ..model import CATALOGUE
+from ..session import by_shuffle
 from . import dom
 from .extract import fact_value
 
@@ -139,7 +140,7 @@ def merge_listing_and_detail(listing: DataFrame, detail: DataFrame, key: str = "
         lambda k, l, d: F.when(
             k.isin(*backed_up) & (F.coalesce(F.size(l), F.lit(0)) <= 0), F.coalesce(d, l))
         .otherwise(F.coalesce(l, d)))
-    joined = listing.join(other, key, "left")
+    joined = listing.join(by_shuffle(other), key, "left")
     return joined.withColumns({
         "metadata": both, "summary": F.coalesce("summary", "_d_summary"), "content": F.coalesce("content", "_d_content"),
     }).drop("_d_summary", "_d_content", "_d_meta")

@@ -15,7 +15,7 @@ from .. import fixed_values as fv
 from ..functions import urls
 from ..operators import enrich, extract, normalise
 from ..operators.merge import first_per_key
-from ..session import cut_lineage
+from ..session import by_shuffle, cut_lineage
 from ..sources import landed
 
 PLACE = ("page_no", "slot")
@@ -28,11 +28,11 @@ def first_listed(items: DataFrame) -> DataFrame:
 def _read_pages(cards: DataFrame, pages: DataFrame) -> DataFrame:
     """Cards of the pages before a crawl's first page without any; ``pages`` has crawl, page_no and url."""
     sizes = cards.groupBy(F.col("page_url").alias("url")).agg(F.count("*").alias("cards"))
-    sized = pages.select("crawl", "page_no", "url").join(sizes, "url", "left")
+    sized = pages.select("crawl", "page_no", "url").join(by_shuffle(sizes), "url", "left")
     read = landed.crawled_pages(sized, "crawl", "page_no", F.coalesce("cards", F.lit(0)))
     # A page that two crawls reach counts once, by its first place.
     place = read.groupBy(F.col("url").alias("page_url")).agg(F.min("page_no").alias("page_no"))
-    return cards.join(place, "page_url")
+    return cards.join(by_shuffle(place), "page_url")
 
 
 def _followed(pages: DataFrame, starts: DataFrame, box_class: str | None) -> DataFrame:
@@ -43,7 +43,7 @@ def _followed(pages: DataFrame, starts: DataFrame, box_class: str | None) -> Dat
 def _asked(pages: DataFrame, cards: DataFrame) -> DataFrame:
     """The detail pages that cards ask for, one per address."""
     asked = cards.select(F.col("source_url").alias("url")).where(F.col("url").isNotNull()).distinct()
-    return first_per_key(pages.join(asked, "url", "left_semi"), ["url"], [F.xxhash64("html")]).select("url", "html")
+    return first_per_key(pages.join(by_shuffle(asked), "url", "left_semi"), ["url"], [F.xxhash64("html")]).select("url", "html")
 
 
 def competitions(pages: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 
 from ..model import SPECS
 from ..operators import enrich, ledger
-from ..session import fresh_path
+from ..session import by_shuffle, fresh_path
 from ..sources import landed, snapshots
 from . import ingest, jobs, q_changes as qc, q_extract as qx, q_shape as qs
 from .registry import query
@@ -28,17 +28,17 @@ def places(spark, folder):
     """Page number and next page per part; the last page of a crawl leads back to its second one, or to itself."""
     by_brand = Window.partitionBy("p_brand").orderBy("p_partkey")
     whole = by_brand.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    keys = F.collect_list("p_partkey").over(whole)
+    second = F.nth_value("p_partkey", 2, ignoreNulls=True).over(whole)
     return table(spark, folder, "part").select(
         "p_partkey", F.col("p_brand").alias("crawl"), "p_size", F.row_number().over(by_brand).alias("page_no"),
-        F.coalesce(F.lead("p_partkey").over(by_brand), F.try_element_at(keys, F.lit(2)), F.col("p_partkey")).alias("next_key"),
+        F.coalesce(F.lead("p_partkey").over(by_brand), second, F.col("p_partkey")).alias("next_key"),
         F.first("p_partkey").over(whole).alias("first_key"))
 
 
 def numbered(spark, folder, pages):
     """Pages of parts in their crawls; a part of size 50 has an empty page."""
     empty = F.when(F.col("p_size") == 50, F.lit("<p>No offers.</p>")).otherwise(F.col("html"))
-    return pages.join(places(spark, folder), "p_partkey").select("p_partkey", "crawl", "page_no", "next_key", "url", empty.alias("html"))
+    return pages.join(by_shuffle(places(spark, folder)), "p_partkey").select("p_partkey", "crawl", "page_no", "next_key", "url", empty.alias("html"))
 
 
 def starts(spark, folder):
@@ -55,8 +55,8 @@ def _(spark, folder):
     """One crawl per nation through all of its customers; half of the crawls end in a cycle of odd or even length, one in no link."""
     order = Window.partitionBy("c_nationkey").orderBy("c_custkey")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    keys = F.collect_list("c_custkey").over(whole)
-    back = F.when(F.col("c_nationkey") % 4 == 0, F.try_element_at(keys, F.lit(1))).when(F.col("c_nationkey") % 4 == 1, F.try_element_at(keys, F.lit(-3))).when(
+    # Only the last customer of a nation takes these: its first one, the one two before the last, itself.
+    back = F.when(F.col("c_nationkey") % 4 == 0, F.first("c_custkey", ignorenulls=True).over(whole)).when(F.col("c_nationkey") % 4 == 1, F.lag("c_custkey", 2).over(order)).when(
         F.col("c_nationkey") % 4 == 2, F.col("c_custkey"))
     address = lambda c: F.concat(F.lit(SITE), c.cast("string"))
     rows = table(spark, folder, "customer").select("c_custkey", "c_nationkey", F.coalesce(F.lead("c_custkey").over(order), back).alias("next"), F.first("c_custkey").over(whole).alias("head"))
@@ -130,7 +130,7 @@ def council_lists(spark, folder):
 def council_pages(spark, folder):
     """Detail pages of source 3, for some of the parts."""
     return qx.council_pages(spark, folder, url="https://site.example.org/opportunity/call-{p_partkey}/").join(
-        table(spark, folder, "part").where("p_size < 30").select("p_partkey"), "p_partkey").select("url", "html")
+        by_shuffle(table(spark, folder, "part").where("p_size < 30").select("p_partkey")), "p_partkey").select("url", "html")
 
 
 COUNCILS_SQL = f"""select 'ukri:call-' || cast(p_partkey as string) as id, case when p_size < 30 then p_name || ' internships' else p_name || ' call' end as title, opens as opened_date, ends as closes_date,
@@ -153,7 +153,7 @@ PER_PAGE = 3
 def paged(rows, spark, folder, per_page: int):
     """Records of parts as answers of so many each, in the crawl of their brand."""
     record = F.struct(*[c for c in rows.columns if c != "p_partkey"])
-    placed = rows.withColumn("record", record).join(places(spark, folder), "p_partkey")
+    placed = rows.withColumn("record", record).join(by_shuffle(places(spark, folder)), "p_partkey")
     page = F.floor((F.col("page_no") - 1) / per_page + 1).cast("int")
     answers = placed.groupBy("crawl", page.alias("page_no")).agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), "p_partkey"))).alias("order"), F.map_from_entries(F.collect_list(F.struct("p_partkey", "record"))).alias("by_key"))
     return answers.select("crawl", "page_no", F.transform("order", lambda o: F.try_element_at("by_key", o["k"])).alias("results"))

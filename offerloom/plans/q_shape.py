@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedupe, enrich, merge, normalise, search as s
+from ..session import by_shuffle
 from ..sources import landed
 from . import q_extract as qx
 from .registry import query
@@ -138,7 +139,7 @@ def _(spark, folder):
     cards = qx.council_cards(spark, folder)
     details = F.col("p_size") < 35
     pages = qx.council_pages(spark, folder, url="https://site.example.org/opportunity/call-{p_partkey}/").join(
-        table(spark, folder, "part").where(details).select("p_partkey"), "p_partkey", "left_semi")
+        by_shuffle(table(spark, folder, "part").where(details).select("p_partkey")), "p_partkey", "left_semi")
     both = enrich.council_with_detail(cards, qx.extract.council_details(pages.select("url", "html")))
     return qx.with_key(both, "page_url").select("p_partkey", "title", "opened_date", "closes_date", "description")
 

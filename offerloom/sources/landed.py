@@ -8,7 +8,7 @@ from .. import fixed_values as fv
 from ..functions.dates import api_date
 from ..model import CATALOGUE
 from ..operators.merge import first_per_key
-from ..session import cut_lineage, forget
+from ..session import by_shuffle, cut_lineage, forget
 
 PAGE = T.StructType([
     T.StructField("url", T.StringType()), T.StructField("html", T.StringType()),
@@ -118,18 +118,18 @@ def by_next_link(links: DataFrame, starts: DataFrame) -> DataFrame:
     """
     one = links.groupBy("url").agg(F.min("next_url").alias("next_url"))
     known = one.select(F.col("url").alias("next_url"))
-    jumps = cut_lineage(one.where(F.col("next_url").isNotNull()).join(known, "next_url", "left_semi").select("url", "next_url"), "links")
-    first = starts.select("crawl", "url").distinct().join(one.select("url"), "url", "left_semi")
+    jumps = cut_lineage(one.where(F.col("next_url").isNotNull()).join(by_shuffle(known), "next_url", "left_semi").select("url", "next_url"), "links")
+    first = starts.select("crawl", "url").distinct().join(by_shuffle(one.select("url")), "url", "left_semi")
     reached, step, count = cut_lineage(first.select("crawl", "url", F.lit(1).cast("bigint").alias("page_no")), "reached"), 1, -1
     while True:
         before, count = count, reached.count()
         if count == before:
             forget(jumps)
             return reached
-        further = reached.join(jumps, "url").select("crawl", F.col("next_url").alias("url"), (F.col("page_no") + step).alias("page_no"))
+        further = reached.join(by_shuffle(jumps), "url").select("crawl", F.col("next_url").alias("url"), (F.col("page_no") + step).alias("page_no"))
         wider = cut_lineage(reached.union(further).groupBy("crawl", "url").agg(F.min("page_no").alias("page_no")), "reached")
         onward = jumps.withColumnsRenamed({"url": "middle", "next_url": "last"})
-        twice = cut_lineage(jumps.join(onward, F.col("next_url") == F.col("middle")).select("url", F.col("last").alias("next_url")), "links")
+        twice = cut_lineage(jumps.join(by_shuffle(onward), F.col("next_url") == F.col("middle")).select("url", F.col("last").alias("next_url")), "links")
         forget(reached, jumps)
         reached, jumps, step = wider, twice, 2 * step
 
@@ -137,7 +137,7 @@ def by_next_link(links: DataFrame, starts: DataFrame) -> DataFrame:
 def ask_once(records: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     """Answers to the distinct keys of ``records``: each key is asked once, however many records hold it."""
     asked = records.where(F.col(key).isNotNull()).select(key).distinct()
-    return answers.join(asked, key, "left_semi")
+    return answers.join(by_shuffle(asked), key, "left_semi")
 
 
 def until_complete(records: DataFrame, crawl: str, page_no: str, key: str, total: str, max_pages: int | None = None) -> DataFrame:
