@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from ..model import CATALOGUE
 from ..operators import enrich, merge
-from ..session import fresh_path
+from ..session import cut_lineage, fresh_path
 from ..sources import buckets, landed, snapshots
 from .registry import query
 from .sample import catalogue, fill, shown, table
@@ -125,12 +125,12 @@ def _(spark, folder):
  union all select {ALL_COLUMNS.replace('id,', "id || '-b' as id,", 1)} from catalogue where source = 'ukri'""")
 def _(spark, folder):
     """The whole catalogue, then rows replaced, rows added, rows taken out, each by the buckets it touches."""
-    root, offers = fresh_path(spark, "buckets"), catalogue(spark, folder)
+    root, offers = fresh_path(spark, "buckets"), cut_lineage(catalogue(spark, folder), "offers")
     buckets.change(spark, root, offers, buckets.replaced)
-    told = offers.where("id like 'konfer:%'").withColumn("title", F.concat(F.lit("New "), F.col("title")))
+    told = cut_lineage(offers.where("id like 'konfer:%'").withColumn("title", F.concat(F.lit("New "), F.col("title"))), "told")
     for _ in range(2):  # the second time is a repeated epoch
         buckets.change(spark, root, told, buckets.replaced, epoch=("crawl", 1))
-    old = offers.where("source = 'ukri'")
+    old = cut_lineage(offers.where("source = 'ukri'"), "old")
     buckets.change(spark, root, old.withColumn("id", F.concat("id", F.lit("-b"))), buckets.replaced)
     buckets.change(spark, root, old, buckets.without)
     return shown(buckets.read(spark, root))

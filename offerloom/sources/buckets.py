@@ -92,15 +92,18 @@ def change(spark: SparkSession, root: str, rows: DataFrame, rebuild: Callable[[D
            schema=CATALOGUE, epoch: tuple[str, int] | None = None, everywhere: bool = False) -> Manifest:
     """Commit ``rebuild(old rows, rows)`` for the buckets of ``rows``, or for all with ``everywhere``.
 
-    ``epoch`` is a stream's name and number; one that is not after the last is skipped.
+    ``epoch`` is a stream's name and number; one that is not after the last is skipped,
+    before its rows are worked out.  Rows that are a written table of ``cut_lineage`` are not written again.
     """
-    rows = cut_lineage(rows, "change")
+    written = None
     for _ in range(TRIES):
         held = newest(spark, root)
         if epoch and held.epochs.get(epoch[0], -1) >= epoch[1]:
             break
-        touched = set(range(held.buckets)) if everywhere else {r[0] for r in rows.select(bucket_of(key, held.buckets)).distinct().collect()}
-        made = rebuild(read(spark, root, schema, held, touched), rows).select(*schema.fieldNames()).withColumn("bucket", bucket_of(key, held.buckets))
+        if written is None:
+            written = rows if hasattr(rows, "cut_path") else cut_lineage(rows, "change")
+        touched = set(range(held.buckets)) if everywhere else {r[0] for r in written.select(bucket_of(key, held.buckets)).distinct().collect()}
+        made = rebuild(read(spark, root, schema, held, touched), written).select(*schema.fieldNames()).withColumn("bucket", bucket_of(key, held.buckets))
         generation = uuid.uuid4().hex
         made.repartition("bucket", (F.xxhash64(key, F.lit(1)) % 4)).write.partitionBy("bucket").parquet(f"{root}/data/{generation}")
         folder, fs = _files(spark, f"{root}/data/{generation}")
@@ -114,7 +117,8 @@ def change(spark: SparkSession, root: str, rows: DataFrame, rebuild: Callable[[D
             continue
     else:
         raise Conflict(f"{TRIES} other writers were faster")
-    forget(rows)
+    if written is not None and written is not rows:
+        forget(written)
     return held
 
 
