@@ -34,6 +34,7 @@ from ._words import slices
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 CHUNK = 1 << 12
+ROWS = 16
 SCALE = 1 << 24  # profiles are summed as integers, so that their sum does not depend on the order
 AMBIGUOUS = 0.15
 SHARPNESS = 8.0
@@ -65,7 +66,11 @@ def profiles(part) -> tuple[np.ndarray, np.ndarray]:
             hashed ^= hashed >> np.uint32(15)
             hashed *= np.uint32(0xC2B2AE35)
             cells.append((row[:len(gram)] + (hashed >> np.uint32(17)))[inside])
-    counts = np.bincount(np.concatenate(cells) if cells else np.zeros(0, np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
+    counts, rows = np.zeros((n, BUCKETS), np.float32), [c // BUCKETS for c in cells]
+    for a in range(0, n, ROWS):  # a few rows at a time: the counts of all in 64 bits would be the most of a task's memory
+        some = min(ROWS, n - a)
+        own = [c[slice(*np.searchsorted(r, (a, a + some)))] - a * BUCKETS for r, c in zip(rows, cells)]
+        counts[a:a + some] = np.bincount(np.concatenate(own) if own else np.zeros(0, np.int64), minlength=some * BUCKETS).reshape(some, BUCKETS)
     return counts, counts.sum(1)
 
 
@@ -165,10 +170,11 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", max_languages:
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     added = ("lang_pred", "score", "ambiguous", "second")
     kept = [f for f in docs.schema.fields if f.name in keep and f.name not in added]
+    told = text if any(f.name == text for f in kept) else "__text"  # the texts are sent to Python once
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double", "ambiguous boolean", "second string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text", 1 << 18, 128):
+        for part in slices(batches, told, 1 << 18, 128):
             counts, sizes = profiles(part)
             known = np.full(len(part), bool(model.languages))
             letters = ((part.data | 32) >= 97) & ((part.data | 32) <= 122)
@@ -182,11 +188,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 first = other = np.full(len(part), "und", object)
                 score = gap = np.zeros(len(part))
             yield pa.RecordBatch.from_arrays([
-                *part.batch.columns[:-1], pa.array(np.where(known, first, "und"), pa.string()), pa.array(np.where(known, score, 0.0)),
+                *part.batch.columns[:len(kept)], pa.array(np.where(known, first, "und"), pa.string()), pa.array(np.where(known, score, 0.0)),
                 pa.array(~known | (gap < AMBIGUOUS)), pa.array(np.where(known, other, None), pa.string())],
-                names=[*part.batch.schema.names[:-1], "lang_pred", "score", "ambiguous", "second"])
+                names=[*part.batch.schema.names[:len(kept)], "lang_pred", "score", "ambiguous", "second"])
 
-    return docs.select(*[f.name for f in kept], F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[f.name for f in kept], *([F.col(text).alias(told)] if told != text else [])).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id"):
