@@ -46,7 +46,8 @@ LONGEST = 16
 BLOCK = 256
 RECORD_IDS = 1 << 17
 RECORDS_PER_FILE = 64
-CACHE, LONG_PIECE = 500_000, 64
+COUNTED = 1 << 20  # ids at once
+CACHE, LONG_PIECE = 1_500_000, 64  # about 130 bytes a word
 
 MAGIC, CODE_MAGIC = b"OLH1", b"OLHC"
 _HEAD = struct.Struct("<4sIqqqqqq")
@@ -90,6 +91,24 @@ class _Cache(dict):
         return found
 
 
+class _Words(_Cache):
+    """Ids of words and of their pieces, without blanks and in lower case; ``make`` gives those of one piece."""
+
+    def __missing__(self, key: str) -> bytes:
+        if key.isalpha():  # one piece
+            found = self.make(key)
+        elif key[:-1].isalpha():  # a word with one mark or digit after it
+            found = self[key[:-1]] + self[key[-1]]
+        else:
+            pieces = _PIECES.findall(key)
+            found = self.make(key) if len(pieces) == 1 else b"".join([self[p] for p in pieces])
+        if len(key) <= LONG_PIECE:
+            if len(self) >= CACHE:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts, as the library's ``encode(text, add_special_tokens=False)`` gives them."""
 
@@ -106,9 +125,15 @@ class Encoder:
                       and told["model"]["type"] == "BPE" and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")))
         self.added = [t["content"] for t in added]
         letters, model = _byte_letters(), self.library.model
-        pack = lambda ids: np.array(ids, self.kind).tobytes()
-        self.pieces = _Cache(lambda piece: pack([t.id for t in model.tokenize("".join([letters[b] for b in piece.encode()]))]))
-        self.lower = _Cache(lambda word: b"".join(map(self.pieces.__getitem__, _PIECES.findall(word))))
+        packed, tokenize = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.size)], model.tokenize
+        pack = lambda ids: b"".join([packed[i] for i in ids])
+
+        def of_piece(piece: str) -> bytes:
+            # Printable ASCII stands for itself.
+            shown = piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode()])
+            return b"".join([packed[t.id] for t in tokenize(shown)])
+
+        self.lower = _Words(of_piece)
         self.words = _Cache(lambda word: self._plain(word) if self._is_plain(word) else pack(self.library.encode(word, add_special_tokens=False).ids))
 
     def _is_plain(self, text: str) -> bool:
@@ -312,11 +337,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                total += np.bincount(np.frombuffer(value.as_buffer(), kind), minlength=size) if len(value.as_buffer()) > 4 * size else 0
-            small = [np.frombuffer(v.as_buffer(), kind) for v in batch.column(0) if len(v.as_buffer()) <= 4 * size]
-            if small:
-                total += np.bincount(np.concatenate(small), minlength=size)
+            _, ends, data = batch.column(0).buffers()
+            at = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(batch.column(0).type) else np.int32)[batch.column(0).offset:][:batch.num_rows + 1]
+            ids = np.frombuffer(data, kind, (int(at[-1]) - int(at[0])) // kind.itemsize, int(at[0])) if batch.num_rows else np.zeros(0, kind)
+            for begin in range(0, len(ids), COUNTED):
+                total += np.bincount(ids[begin:begin + COUNTED], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": at, "n": total[at]})
 

@@ -45,6 +45,12 @@ def test_every_mark_of_latin(mark):
     assert np.frombuffer(ENCODER.encode(text), "<u2").tolist() == told(text)
 
 
+def test_words_and_pieces_share_a_cache():
+    encoder = huffman.Encoder(PATH)
+    assert np.frombuffer(encoder.encode("Word word, it's 1 a!?b"), "<u2").tolist() == told("Word word, it's 1 a!?b")
+    assert set(encoder.lower) == {"word", "word,", ",", "it's", "it", "'s", "1", "a!?b", "a", "!?", "b"}
+
+
 def least_cost(counts):
     heap = [c for c in counts if c]
     heapq.heapify(heap)
