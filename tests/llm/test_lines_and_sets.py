@@ -294,3 +294,70 @@ def test_short_lines_take_part(spark):
     texts = ["all rights reserved", "All rights reserved.", "---", "---", "***", "the colour of the ships", "the color of the ships", "港の事務所は朝早く開き職員が手紙を分けた", "港の事務所は朝早く開き職員が手紙も分けた", "7", "x"]
     rows = {r.doc_id: r.n_removed for r in fuzzy_lines.dedup_lines(table(spark, texts)).collect()}
     assert [rows[i] for i in range(len(texts))] == [0, 1, 0, 1, 0, 0, 1, 0, 1, 0, 0]
+
+
+def test_what_lines_share_is_learnt_from_all_of_them(spark, monkeypatch):
+    """One long text takes part with all its lines, not only with those at its start."""
+    rng, largest, choose = random.Random(37), [], fuzzy_lines.nearest
+
+    def counted(signed, *given):
+        labelled = signed.withColumn("label", signed["name"])
+        largest.append(max(fuzzy_lines._post(labelled, turn).groupBy("bucket").count().agg({"count": "max"}).first()[0] for turn in range(3)))
+        return choose(signed, *given)
+
+    monkeypatch.setattr(fuzzy_lines, "nearest", counted)
+    lines = [" ".join(some_word(rng) for _ in range(rng.randrange(50, 90))) for _ in range(1500)]
+    rows = {r.doc_id: r.n_removed for r in fuzzy_lines.dedup_lines(table(spark, ["\n".join(lines), lines[7][:-3] + "qqq"])).collect()}
+    assert largest[0] < 30 and rows == {0: 0, 1: 1}
+
+
+def postings(count, sizes):
+    """Rows of one bucket and of equal signatures, in a pack of Arrow."""
+    import numpy as np
+    import pyarrow as pa
+    one = np.ones(count, np.int64)
+    return {"name": pa.array(np.arange(count)), "size": pa.array(np.asarray(sizes, np.int32)), **{c: pa.array(one) for c in fuzzy_lines.SIGNS}}, pa.array(one.astype(np.int32))
+
+
+def test_candidates_of_a_block_leave_in_small_batches(monkeypatch):
+    """Every pair of different labels once, and never all pairs of a block in memory."""
+    import pyarrow as pa
+    monkeypatch.setattr(fuzzy_lines, "OUT", 1000)
+    columns, bucket = postings(300, [100] * 300)
+    batch = pa.RecordBatch.from_pydict({"bucket": bucket, "label": pa.array([i // 2 for i in range(300)], pa.int64()), **columns})
+    found = list(fuzzy_lines._comparer(90)(iter([batch])))
+    pairs = [p for b in found for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+    assert sorted(pairs) == [(i, j) for i in range(300) for j in range(i + 1, 300) if i // 2 != j // 2]
+    assert max(b.num_rows for b in found) < 1000 + 300
+
+
+def test_lines_of_a_cell_meet_a_few_candidates(monkeypatch):
+    """Each line with candidates comes, with as many pairs as lines at most; a line of a block over RUN comes in any case."""
+    import pyarrow as pa
+
+    def met(count):
+        columns, one = postings(count, sorted(range(100, 100 + count)))
+        batch = pa.RecordBatch.from_pydict({"band": one, "p": one, "q": one, "part": one, "own": pa.array([True] * count), **columns})
+        return {p for b in fuzzy_lines._cells(90)(iter([batch.slice(0, 7), batch.slice(7)])) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+
+    pairs = met(200)
+    assert {x for p in pairs for x in p} == set(range(200)) and len(pairs) <= 400
+    assert all(100 * (100 + a) >= 90 * (100 + b) for a, b in pairs)
+    monkeypatch.setattr(fuzzy_lines, "RUN", 8)
+    monkeypatch.setattr(fuzzy_lines, "AHEAD", 2)
+    pairs = met(200)
+    assert {(i, i) for i in range(200)} <= pairs and max(b - a for a, b in pairs) <= 2
+
+
+def test_bands_of_length_in_parts(spark, monkeypatch):
+    """Bands that are dealt in parts, part against part, give the same rows as all pairs by edit distance."""
+    monkeypatch.setattr(fuzzy_lines, "CELL", 12)
+    rng = random.Random(8)
+    base = [" ".join(some_word(rng) for _ in range(k)) for k in (9, 9, 10, 10, 11, 30)]
+    texts = []
+    for line in base * 12:
+        near = list(line)
+        near[rng.randrange(len(near))] = rng.choice("abcxyz")
+        texts.append("".join(near) + rng.choice(["", "s"]))
+    rows = fuzzy_lines.dedup_lines(table(spark, texts)).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in rows} == plain_lines(list(enumerate(texts)))
