@@ -298,14 +298,13 @@ def test_short_lines_take_part(spark):
 
 def test_what_lines_share_is_learnt_from_all_of_them(spark, monkeypatch):
     """One long text takes part with all its lines, not only with those at its start."""
-    rng, largest, choose = random.Random(37), [], fuzzy_lines.nearest
+    rng, largest, choose = random.Random(37), [], fuzzy_lines.candidates
 
     def counted(signed, *given):
-        labelled = signed.withColumn("label", signed["name"])
-        largest.append(max(fuzzy_lines._post(labelled, turn).groupBy("bucket").count().agg({"count": "max"}).first()[0] for turn in range(3)))
+        largest.append(max(fuzzy_lines._post(signed, turn).groupBy("bucket").count().agg({"count": "max"}).first()[0] for turn in range(3)))
         return choose(signed, *given)
 
-    monkeypatch.setattr(fuzzy_lines, "nearest", counted)
+    monkeypatch.setattr(fuzzy_lines, "candidates", counted)
     lines = [" ".join(some_word(rng) for _ in range(rng.randrange(50, 90))) for _ in range(1500)]
     rows = {r.doc_id: r.n_removed for r in fuzzy_lines.dedup_lines(table(spark, ["\n".join(lines), lines[7][:-3] + "qqq"])).collect()}
     assert largest[0] < 30 and rows == {0: 0, 1: 1}
@@ -319,16 +318,16 @@ def postings(count, sizes):
     return {"name": pa.array(np.arange(count)), "size": pa.array(np.asarray(sizes, np.int32)), **{c: pa.array(one) for c in fuzzy_lines.SIGNS}}, pa.array(one.astype(np.int32))
 
 
-def test_candidates_of_a_block_leave_in_small_batches(monkeypatch):
-    """Every pair of different labels once, and never all pairs of a block in memory."""
+def test_pairs_of_families_are_verified_within_a_cell():
+    """Links leave a cell, not pairs; a pair that the nearest ones did not link is found."""
+    import numpy as np
     import pyarrow as pa
-    monkeypatch.setattr(fuzzy_lines, "OUT", 1000)
-    columns, bucket = postings(300, [100] * 300)
-    batch = pa.RecordBatch.from_pydict({"bucket": bucket, "label": pa.array([i // 2 for i in range(300)], pa.int64()), **columns})
-    found = list(fuzzy_lines._comparer(90)(iter([batch])))
-    pairs = [p for b in found for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
-    assert sorted(pairs) == [(i, j) for i in range(300) for j in range(i + 1, 300) if i // 2 != j // 2]
-    assert max(b.num_rows for b in found) < 1000 + 300
+    texts = [f"a common line of words number {'abcdefgh'[i % 8]}" if i < 150 else f"zzzz quite other letters qqqq jjj {'abcdefgh'[i % 8]}" for i in range(300)]
+    columns, one = postings(300, [len(t) for t in texts])
+    order = np.lexsort((np.arange(300), [len(t) for t in texts]))
+    batch = pa.RecordBatch.from_pydict({"band": one, "p": one, "q": one, "part": one, "own": pa.array([True] * 300), **columns, "label": pa.array(range(300), pa.int64()), "line": texts}).take(pa.array(order))
+    pairs = [p for b in fuzzy_lines._linker(90)(iter([batch])) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+    assert len(pairs) == 298 and all((a < 150) == (b < 150) for a, b in pairs)
 
 
 def test_lines_of_a_cell_meet_a_few_candidates(monkeypatch):
